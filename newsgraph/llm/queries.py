@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe
+from newsgraph.llm import bpe, near_duplicates
 from newsgraph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,7 +20,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(kept, TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of the whole table at similarity 0.85."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}
