@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe, near_duplicates
+from newsgraph.llm import bpe, near_duplicates, pii, toxicity
 from newsgraph.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,13 +20,34 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(kept, TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text; a fifth of the labels is held out by a hash of doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"), ~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the whole table at similarity 0.85."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text, base kinds first."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_pii": op8_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
