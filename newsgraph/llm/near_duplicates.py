@@ -1,8 +1,9 @@
 """Near-duplicate classes by MinHash.
 
-``HASHES`` universal hash minima of a document's word shingles are cut into ``BANDS`` bands;
+Universal hash minima of a document's word shingles are cut into bands of ``ROWS``;
 documents that agree on a band are candidates (a pair at similarity 0.85 is missed with
-probability (1 - 0.85**6)**28, about two in a million). Candidates are compared by signature,
+probability (1 - 0.85**6)**28, about two in a million; the number of bands follows from the
+threshold so that this holds for others too). Candidates are compared by signature,
 those that may reach the threshold are confirmed on their full shingle sets, and the confirmed
 links are closed by connected components.
 
@@ -23,7 +24,9 @@ without doc_id are returned with a null class and kept; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,10 @@ from newsgraph.llm.common import materialize
 from newsgraph.llm.components import connected_components
 
 WIDTH = 5
-ROWS, BANDS = 6, 28
-HASHES = ROWS * BANDS
+ROWS = 6
+MISSED = 2e-6
+# Minima compared when candidates are verified.
+HASHES = 168
 TOGETHER = 256
 CACHED_WORDS = 400_000
 # A signature estimate this far below the threshold is out of reach: over five standard deviations.
@@ -78,15 +83,16 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(width * int(_TAG) % (1 << 64))))
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240229)
-    return draw.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, HASHES, np.uint64)
+def bands_for(percent: int) -> int:
+    """Fewest bands that miss a pair at the threshold with a probability of MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)) - 0.2)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of HASHES minima for each (non-empty) set."""
-    a, b = _coefficients()
-    out = np.empty((len(sets), HASHES), np.uint64)
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """One row of so many minima for each (non-empty) set."""
+    draw = np.random.default_rng(20240229).integers(0, 1 << 63, (hashes, 2), np.uint64)
+    a, b = draw[:, 0] * np.uint64(2) + np.uint64(1), draw[:, 1]
+    out = np.empty((len(sets), hashes), np.uint64)
     start = 0
     while start < len(sets):
         end, total = start, 0
@@ -96,7 +102,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         x = np.concatenate(sets[start:end])
         cuts = np.cumsum([0, *map(len, sets[start : end - 1])])
         values = np.empty_like(x)
-        for k in range(HASHES):
+        for k in range(hashes):
             np.multiply(x, a[k], out=values)
             np.add(values, b[k], out=values)
             out[start:end, k] = np.minimum.reduceat(values, cuts)
@@ -104,7 +110,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -113,8 +119,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: list[bytes | None] = [None] * len(sets)
             bands: list[np.ndarray | None] = [None] * len(sets)
             if full:
-                rows = signatures([sets[i] for i in full]).reshape(len(full), BANDS, ROWS)
-                band = np.arange(1, BANDS + 1, dtype=np.uint64) * _TAG
+                rows = signatures([sets[i] for i in full], count * ROWS).reshape(len(full), count, ROWS)
+                band = np.arange(1, count + 1, dtype=np.uint64) * _TAG
                 folded = np.broadcast_to(band, rows.shape[:2])
                 for r in range(ROWS):
                     folded = _mix(folded * _P + rows[:, :, r])
@@ -257,7 +263,7 @@ def _side(sets: DataFrame, side: str, key: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id, kept`` for ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "near-signed")
+    signed = materialize(docs.mapInArrow(partial(_sign, count=bands_for(percent)), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "near-signed")
     reps = signed.filter("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
     reps = materialize(reps, "near-reps")
     banded = reps.select("rep", F.explode("bands").alias("band"))

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe, near_duplicates, pii, toxicity
-from newsgraph.llm.common import table
+from newsgraph.llm import bpe, mixing, near_duplicates, pii, toxicity
+from newsgraph.llm.common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,10 +44,19 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    measured = mixing.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    mixed = mixing.mix(materialize(measured, "mix-measured"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_toxicity": op5_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
