@@ -1,0 +1,218 @@
+"""Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
+
+Equal vectors are one node with its smallest ids, so thousands of copies neither fill neighbour
+lists nor hide other vectors. Distinct vectors are dealt into shards of ``SHARD_ROWS``; each shard
+gets a graph whose level of a node is drawn geometrically from a hash of its id. A node links, on
+each of its levels, to diverse near ones among the nodes placed before it (a candidate closer to a
+kept neighbour than to the node is passed over), and back; lists are stored as flat arrays of
+``2 * LINKS`` (bottom) or ``LINKS`` places. As a shard is bounded, a node's candidates are found by a
+blocked matrix product rather than by searching the unfinished graph.
+
+A search walks greedily down the levels and keeps a beam of ``BEAM`` on the bottom one, many queries
+in step; results of shards are merged. Inner product is searched as nearness of vectors lengthened
+by one component to equal norm.
+
+Edge cases: null, zero and non-finite vectors take no part; rows that share a vec_id are one
+another's own; ties go to the smaller vec_id; with fewer candidates than k all those reached are
+returned (a shard no larger than the beam is reached whole); an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from newsgraph.llm.common import materialize
+from newsgraph.llm.vectors import dealt, matrix, pairs, query_chunks, valid
+
+SHARD_ROWS = 8192
+LINKS = 16
+CANDIDATES = 64
+BEAM = 96
+WIDTH = 4
+CHUNK = 512
+
+
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, largest first."""
+    k = min(k, scores.shape[1])
+    part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(part, np.argsort(-np.take_along_axis(scores, part, 1), axis=1, kind="stable"), 1)
+
+
+def _diverse(x: np.ndarray, near: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
+    """From candidates (rows, c) by falling score, -1 where none, up to ``keep`` diverse ones; passed-over ones fill up."""
+    rows, c = near.shape
+    vectors = x[np.maximum(near, 0)]
+    between = np.einsum("rcd,red->rce", vectors, vectors)
+    kept, count = np.zeros((rows, c), bool), np.zeros(rows, np.int64)
+    for j in range(c):
+        shadowed = (kept & (between[:, j, :] >= scores[:, j, None])).any(axis=1)
+        take = (near[:, j] >= 0) & ~shadowed & (count < keep)
+        kept[:, j] = take
+        count += take
+    rank = np.where(near < 0, 2 * c, np.where(kept, 0, c)) + np.arange(c)
+    order = np.argsort(rank, axis=1, kind="stable")[:, :keep]
+    out = np.full((rows, keep), -1, np.int32)
+    out[:, : order.shape[1]] = np.take_along_axis(near, order, 1)
+    return out
+
+
+def build_level(x: np.ndarray, links: int, room: int) -> np.ndarray:
+    """Neighbour array (n, room) of vectors of equal norm, in the order of their placement."""
+    n = len(x)
+    forward = np.full((n, links), -1, np.int32)
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK)
+        scores = x[a:b] @ x[:b].T
+        scores[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = -np.inf
+        near = _top(scores, CANDIDATES)
+        got = np.take_along_axis(scores, near, 1)
+        forward[a:b] = _diverse(x, np.where(np.isfinite(got), near, -1), got, links)
+    source = np.repeat(np.arange(n, dtype=np.int64), links)
+    target = forward.ravel().astype(np.int64)
+    source, target = source[target >= 0], target[target >= 0]
+    source, target = np.concatenate([source, target]), np.concatenate([target, source])
+    scores = np.einsum("ed,ed->e", x[source], x[target])
+    order = np.lexsort((-scores, source))
+    source, target, scores = source[order], target[order], scores[order]
+    starts = np.searchsorted(source, np.arange(n))
+    place = np.arange(len(source)) - starts[source]
+    # The oldest links of much-linked nodes carry the long ways, so lists are thinned by diversity, not cut by nearness.
+    width = min(int(place.max()) + 1 if len(place) else 1, 4 * room)
+    inside = place < width
+    near, near_scores = np.full((n, width), -1, np.int64), np.full((n, width), -np.inf)
+    near[source[inside], place[inside]], near_scores[source[inside], place[inside]] = target[inside], scores[inside]
+    if width <= room:
+        out = np.full((n, room), -1, np.int32)
+        out[:, :width] = near
+        return out
+    return np.concatenate([_diverse(x, near[a : a + CHUNK], near_scores[a : a + CHUNK], room) for a in range(0, n, CHUNK)])
+
+
+def levels_of(ids: np.ndarray) -> np.ndarray:
+    """Geometric levels from a hash of the id: 1 in LINKS reaches the next."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    u = ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / 2**53
+    return np.minimum(np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(LINKS)), 6).astype(np.int64)
+
+
+def build_graph(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Order of placement, level of each node in it, and a neighbour array per level (rows: the nodes of the level)."""
+    level = levels_of(ids)
+    order = np.lexsort((ids, -level))  # upper nodes first, so a level's nodes are a prefix
+    level = level[order]
+    x = vectors[order]
+    norms = np.einsum("nd,nd->n", x, x)
+    x = np.concatenate([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1)
+    arrays = [build_level(x[: int((level >= h).sum())], LINKS, 2 * LINKS if h == 0 else LINKS) for h in range(int(level.max()) + 1)]
+    return order, level, arrays
+
+
+def search_graph(queries: np.ndarray, x: np.ndarray, arrays: list[np.ndarray], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the beam of each query, best first; -1 where the beam is not full."""
+    q, n = len(queries), len(x)
+    rows = np.arange(q)
+    top = len(arrays[-1])
+    at = (queries @ x[:top].T).argmax(axis=1) if top <= 4 * LINKS else np.zeros(q, np.int64)
+    score = np.einsum("qd,qd->q", queries, x[at])
+    for links in arrays[:0:-1]:
+        while True:
+            near = links[at]
+            scores = np.where(near >= 0, np.einsum("qd,qmd->qm", queries, x[np.maximum(near, 0)]), -np.inf)
+            best = scores.argmax(axis=1)
+            better = scores[rows, best] > score
+            if not better.any():
+                break
+            at = np.where(better, near[rows, best], at)
+            score = np.where(better, scores[rows, best], score)
+    beam = min(beam, n)
+    ids, scores, open_ = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf), np.zeros((q, beam), bool)
+    ids[:, 0], scores[:, 0], open_[:, 0] = at, score, True
+    seen = np.zeros((q, n + 1), bool)
+    seen[rows, at] = True
+    seen[:, n] = True
+    live = rows
+    while len(live):
+        waiting = np.where(open_[live], scores[live], -np.inf)
+        pick = _top(waiting, WIDTH)
+        real = np.isfinite(np.take_along_axis(waiting, pick, 1))
+        chosen = np.where(real, ids[live[:, None], pick], n)
+        open_[live[:, None], pick] = False
+        near = np.where(chosen[:, :, None] < n, arrays[0][np.minimum(chosen, n - 1)], -1).reshape(len(live), -1)
+        near = np.sort(np.where(near < 0, n, near), axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = n
+        fresh = ~seen[live[:, None], near]
+        near = np.where(fresh, near, n)
+        seen[live[:, None], near] = True
+        got = np.where(near < n, np.einsum("qd,qmd->qm", queries[live], x[np.minimum(near, n - 1)]), -np.inf)
+        all_ids, all_scores = np.concatenate([ids[live], near], 1), np.concatenate([scores[live], got], 1)
+        all_open = np.concatenate([open_[live], near < n], 1)
+        keep = _top(all_scores, beam)
+        ids[live], scores[live], open_[live] = (np.take_along_axis(v, keep, 1) for v in (all_ids, all_scores, all_open))
+        live = live[(open_[live] & np.isfinite(scores[live])).any(axis=1)]
+    return np.where(np.isfinite(scores), ids, -1), scores
+
+
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    ids, vectors = rows["vec_id"].to_numpy(np.int64), matrix(list(rows["v"]))
+    order, level, arrays = build_graph(ids, vectors)
+    members = rows["members"].to_numpy()[order]
+    return pd.DataFrame(
+        {
+            "dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "vectors": [vectors[order].tobytes()],
+            "sizes": [[len(a) for a in arrays]], "links": [b"".join(a.tobytes() for a in arrays)], "members": [[list(map(int, m)) for m in members]],
+        }
+    )
+
+
+def _unpack(sizes: list[int], links: bytes) -> list[np.ndarray]:
+    flat, out, at = np.frombuffer(links, np.int32), [], 0
+    for h, n in enumerate(sizes):
+        room = 2 * LINKS if h == 0 else LINKS
+        out.append(flat[at : at + n * room].reshape(n, room))
+        at += n * room
+    return out
+
+
+def _search(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                query_ids = np.frombuffer(row.query_ids, np.int64)
+                queries, x = np.frombuffer(row.queries).reshape(len(query_ids), -1), np.frombuffer(row.vectors).reshape(-1, row.dim)
+                found, scores = search_graph(queries, x, _unpack(list(row.sizes), row.links))
+                out = []
+                for q, (places, values) in enumerate(zip(found[:, : k + 1].tolist(), scores[:, : k + 1].tolist(), strict=True)):
+                    hits = [(-s, m) for p, s in zip(places, values, strict=True) if p >= 0 for m in row.members[p] if m != query_ids[q]]
+                    out += [(query_ids[q], m, -s) for s, m in sorted(hits)[:k]]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
+def build(vectors: DataFrame, k: int = 20) -> DataFrame:
+    """The index: one row per shard with vectors, flat neighbour arrays and the ids of each node (its k + 1 smallest, no more can be among k)."""
+    rows = valid(vectors, nonzero=True).distinct()
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
+    rank = F.row_number().over(Window.partitionBy("v", "salt").orderBy("vec_id"))
+    first = salted.withColumn("r", rank).filter(F.col("r") <= k + 1)
+    final = first.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    nodes = final.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("vec_id", F.col("members")[0])
+    nodes = dealt(materialize(nodes, "graph-nodes"), "shard", SHARD_ROWS).select("dim", "shard", "vec_id", "v", "members")
+    shards = nodes.groupBy("dim", "shard").applyInPandas(_pack, "dim int, shard int, vectors binary, sizes array<int>, links binary, members array<array<long>>")
+    return materialize(shards, "graph-shards")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
+    """Rows ``query_id, rank, vec_id, score``: the k nearest found of every row that ``is_query`` admits."""
+    shards = build(vectors, k)
+    chunks = query_chunks(valid(vectors, nonzero=True).distinct().filter(is_query))
+    found = pairs(chunks, shards).drop("shard", "chunk").mapInPandas(_search(k), "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

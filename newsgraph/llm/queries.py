@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe, mixing, near_duplicates, pii, toxicity
+from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, toxicity
 from newsgraph.llm.common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(kept, TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places and labels of every whole text."""
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every twentieth vector."""
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best by integer inner product of every fiftieth vector."""
+    return exact_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text; a fifth of the labels is held out by a hash of doc_id."""
     docs = table(spark, sf_dir, "documents")
@@ -54,7 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_licences": op3_licences,
+    "op4_nearest": op4_nearest,
     "op5_toxicity": op5_toxicity,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
     "op10_mixing": op10_mixing,
