@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, toxicity
+from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, toxicity, training_order, warc
 from newsgraph.llm.common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's sequences, written to shards in training order and read back."""
+    encoded = training_order.sequences(table(spark, sf_dir, "documents"), TOKENIZER)
+    return training_order.read_from(training_order.write_shards(encoded, TOKENIZER)).drop("ids")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, decode the ids again, and digest both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +65,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to an archive and read all records back by the capture index."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    blocks, _ = warc.write_index(archives)
+    records = warc.read_records(warc.captures_of(blocks), archives)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     measured = mixing.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
@@ -68,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_training_order": op1_training_order,
     "op2_bpe": op2_bpe,
     "op3_licences": op3_licences,
     "op4_nearest": op4_nearest,
@@ -75,6 +90,7 @@ QUERIES = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
