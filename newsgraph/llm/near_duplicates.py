@@ -43,6 +43,8 @@ MISSED = 2e-6
 # Minima compared when candidates are verified.
 HASHES = 168
 TOGETHER = 256
+# Central members of a bucket compared in the first round, and how many times more in each next one.
+CENTRES, GROWTH = 4, 1024
 CACHED_WORDS = 400_000
 # A signature estimate this far below the threshold is out of reach: over five standard deviations.
 MARGIN = 0.15
@@ -220,7 +222,7 @@ def _large_links(large: DataFrame, percent: int) -> DataFrame:
     sets = large.select("rep", "shingles", "signature")
     links = spark.createDataFrame([], "u long, v long")
     component = spark.createDataFrame([], "node long, component long")
-    used, centres = 0, 1
+    used, centres = 0, CENTRES
     while True:
         # Ranks of centres are by place, the fewest rare shingles first; the first ``used`` of a key have met all others.
         now = entries.join(component, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
@@ -234,22 +236,21 @@ def _large_links(large: DataFrame, percent: int) -> DataFrame:
         pairs = left.join(right, (F.col("c.key") == F.col("m.key")) & (F.col("c.component") != F.col("m.component")) & fits)
         pairs = pairs.select(F.greatest("c.rep", "m.rep").alias("u"), F.least("c.rep", "m.rep").alias("v")).distinct()
         pairs = materialize(pairs, "near-pairs")
-        if not here.limit(1).count() or (not pairs.limit(1).count() and not _ranked(here, used + centres, None).limit(1).count()):
-            return links
         found = pairs.join(_side(sets, "a", "u"), "u").join(_side(sets, "b", "v"), "v").mapInArrow(_confirm(percent), "u long, v long")
-        links = materialize(links.unionByName(found), "near-links")
-        component = materialize(connected_components(links), "near-component")
-        used, centres = used + centres, centres * 8
+        found = materialize(found, "near-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            component = materialize(connected_components(links), "near-component")
+        used, centres = used + centres, centres * GROWTH
+        if entries.groupBy("key").count().filter(F.col("count") > used).isEmpty():
+            return links
 
 
-def _ranked(rows: DataFrame, start: int, end: int | None) -> DataFrame:
+def _ranked(rows: DataFrame, start: int, end: int) -> DataFrame:
     """Rows of each key from rank ``start`` to ``end`` by place and rep; ranked in two steps, so a hot key is cut down in parts first."""
     from pyspark.sql import Window
 
     order = [F.col("place"), F.col("rep")]
-    if end is None:
-        counts = rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > start)
-        return rows.join(counts, "key", "left_semi")
     part = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(64)))
     first = part.withColumn("r", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))).filter(F.col("r") <= end)
     final = first.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
