@@ -159,7 +159,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _resolve(percent: int):
-    """Links that span the classes of one small cluster, compared side by side."""
+    """Classes of one small cluster's members, compared side by side; rows are in order of rep, so a root is the least."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable")
@@ -167,7 +167,6 @@ def _resolve(percent: int):
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
         sigs = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
         root = list(range(len(reps)))
-        edges = []
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -181,8 +180,7 @@ def _resolve(percent: int):
                 p, q = find(i), find(j)
                 if p != q and linked(sets[i], sets[j], percent):
                     root[max(p, q)] = min(p, q)
-                    edges.append((reps[j], reps[i]))
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+        return pd.DataFrame({"node": reps, "component": [reps[find(i)] for i in range(len(reps))]})
 
     return run
 
@@ -209,8 +207,8 @@ def _to_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["cluster", "rep", "shingles"])
 
 
-def _large_links(large: DataFrame, percent: int) -> DataFrame:
-    """Links that span the classes of clusters too large for one task."""
+def _large_classes(large: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the linked members of clusters too large for one task."""
     spark = large.sparkSession
     each = large.select("cluster", "rep", "shingles").mapInArrow(_to_longs, "cluster long, rep long, shingles array<long>")
     each = each.select("cluster", "rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
@@ -243,7 +241,7 @@ def _large_links(large: DataFrame, percent: int) -> DataFrame:
             component = materialize(connected_components(links), "near-component")
         used, centres = used + centres, centres * GROWTH
         if entries.groupBy("key").count().filter(F.col("count") > used).isEmpty():
-            return links
+            return component
 
 
 def _ranked(rows: DataFrame, start: int, end: int) -> DataFrame:
@@ -277,11 +275,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     described = materialize(
         texts.select("cluster", "members", "rep", "text").mapInArrow(_describe, "cluster long, members long, rep long, shingles binary, signature binary"), "near-described"
     )
-    links = described.filter(F.col("members") <= TOGETHER).groupBy("cluster").applyInPandas(_resolve(percent), "u long, v long")
+    classes = described.filter(F.col("members") <= TOGETHER).groupBy("cluster").applyInPandas(_resolve(percent), "node long, component long")
     large = described.filter(F.col("members") > TOGETHER)
-    if large.limit(1).count():
-        links = links.unionByName(_large_links(large, percent))
-    classes = connected_components(links, "near-classes")
+    if not large.isEmpty():
+        classes = classes.unionByName(_large_classes(large, percent))
+    # One row a node, also where a repeated doc_id stands for several sets.
+    classes = classes.groupBy("node").agg(F.min("component").alias("component"))
     placed = reps.select("set_key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("bands").join(placed, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
