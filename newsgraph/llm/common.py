@@ -2,62 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from newsgraph.tables import drop_table, materialize, shared_dir, table, table_path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: the one in spark.checkpoint.dir.
-
-    Where the setting is absent (a bare local session, as in tests) a temporary folder is
-    set on the context, which is safe because one machine holds everything.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="newsgraph-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh table location in the shared folder."""
-    return f"{shared_dir(spark)}/newsgraph/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, executors may go."""
-    path = table_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, df_or_path) -> None:
-    """Delete an intermediate table once nothing reads it any more."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else sorted({f.rpartition("/")[0] for f in df_or_path.inputFiles()})
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(name: str = "text") -> Column:
-    """The text, a null as the empty text."""
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def ascii_lower(column: Column) -> Column:
-    """Lower-case A-Z only; ``lower`` would also touch other alphabets."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+__all__ = ["drop_table", "materialize", "shared_dir", "table", "table_path"]

@@ -27,6 +27,8 @@ from newsgraph.llm.vectors import dealt, matrix, pairs, query_chunks, valid
 SHARD_ROWS = 8192
 BLOCK_ROWS = 128
 EXACT = 1 << 53
+# Below every score.
+NOTHING = -(1 << 62)
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -49,8 +51,7 @@ def top_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, we
     high, low = np.maximum.reduceat(weights, cuts), np.minimum.reduceat(weights, cuts)
     bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     order = np.argsort(-bounds, axis=1, kind="stable")
-    least = np.iinfo(np.int64).min
-    best_ids, best = np.full((n, k), -1, np.int64), np.full((n, k), least, np.int64)
+    best_ids, best = np.full((n, k), -1, np.int64), np.full((n, k), NOTHING, np.int64)
     live = np.arange(n)
     for step in range(len(cuts)):
         at = order[live, step]
@@ -65,7 +66,7 @@ def top_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, we
             scores = (queries[rows] @ weights[start : start + BLOCK_ROWS].T).astype(np.int64)
             own = query_ids[rows][:, None] == block_ids[None, :]
             all_ids = np.concatenate([best_ids[rows], np.where(own, -1, block_ids[None, :])], axis=1)
-            scores = np.concatenate([best[rows], np.where(own, least, scores)], axis=1)
+            scores = np.concatenate([best[rows], np.where(own, NOTHING, scores)], axis=1)
             chosen = np.lexsort((all_ids, -(scores.astype(np.float64) if weights.dtype != np.int64 else scores)), axis=1)[:, :k]
             best_ids[rows], best[rows] = np.take_along_axis(all_ids, chosen, 1), np.take_along_axis(scores, chosen, 1)
     return best_ids, best
@@ -78,7 +79,7 @@ def _search(k: int):
                 query_ids, ids = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.ids, np.int64)
                 queries, weights = np.frombuffer(row.queries).reshape(len(query_ids), -1), np.frombuffer(row.weights).reshape(len(ids), -1)
                 found, scores = top_of_shard(query_ids, queries, ids, weights, k)
-                q, i = np.nonzero(scores > np.iinfo(np.int64).min)
+                q, i = np.nonzero(scores > NOTHING)
                 yield pd.DataFrame({"query_id": query_ids[q], "vec_id": found[q, i], "score": scores[q, i]})
 
     return run

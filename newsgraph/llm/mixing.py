@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsgraph.llm.common import materialize
 
@@ -157,7 +158,7 @@ def shards(mixed: DataFrame, text: str = "text") -> DataFrame:
     return full.unionByName(part).drop("_draw").repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
     """Each text up to the end of so many words."""
     import re
