@@ -23,10 +23,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsgraph.llm.common import materialize
 
@@ -36,7 +34,8 @@ BLOCKS_PER_SHARD = 64
 MAX_SHARDS = 1024
 REPEATS = 3
 SEED = 20240517
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"\x20\x09-\x0D"
+WORD = f"[^{SPACES}]+"
 
 
 def word_count(text: str = "text") -> Column:
@@ -137,36 +136,27 @@ def mix(measured: DataFrame, seed: int = SEED) -> DataFrame:
     drawn = drawn.join(runs, "_s").withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= F.col("_slot"))))
     drawn = drawn.groupBy("_s", "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("_pass").alias("pass"), F.col("_shard").alias("shard"), F.col("_upto").alias("upto"), F.col("_held").alias("held")))).alias("_drawn"))
 
-    joined = placed(measured).join(drawn, ["_s", "_block"], "left")
-    # Only the block in which a source's target is reached is taken document by document.
-    cut = F.exists("_drawn", lambda d: d["upto"] < d["held"])
+    # One path for all rows, so each text is shuffled once; only in the block where a target is reached do the words ahead count.
     within = Window.partitionBy("_s", "_block").orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    parted = joined.filter(cut).withColumn("_ahead", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
-    whole = joined.filter(~F.coalesce(cut, F.lit(False))).withColumn("_ahead", F.lit(0).cast("long"))
+    joined = placed(measured).join(drawn.hint("shuffle_hash"), ["_s", "_block"], "left")
+    joined = joined.withColumn("_ahead", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
     words = lambda d: F.when(d["upto"] < d["held"], F.least(F.col("size"), F.greatest(d["upto"] - F.col("_ahead"), F.lit(0)))).otherwise(F.col("size"))
     draw = lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"), words(d).alias("words"), F.xxhash64(F.lit(seed), F.col("mix_key"), d["pass"]).alias("place"))
     draws = F.filter(F.transform(F.coalesce("_drawn", F.array().cast("array<struct<pass:int,shard:int,upto:bigint,held:bigint>>")), draw), lambda d: d["words"] > 0)
-    return whole.unionByName(parted).select(*measured.columns, "source_size", "target", draws.alias("draws"))
+    return joined.select(*measured.columns, "source_size", "target", draws.alias("draws"))
 
 
 def shards(mixed: DataFrame, text: str = "text") -> DataFrame:
     """One row per draw, dealt by shard and shuffled within it: the columns of ``mixed`` with ``shard`` and ``place``; a text drawn in part ends after its last word."""
     each = mixed.withColumn("_draw", F.explode("draws")).drop("draws")
     each = each.withColumn("shard", F.col("_draw.shard")).withColumn("place", F.col("_draw.place"))
-    full = each.filter(F.col("_draw.words") == F.col("size"))
-    part = each.filter(F.col("_draw.words") < F.col("size")).withColumn(text, first_words(F.col(text), F.col("_draw.words")))
-    return full.unionByName(part).drop("_draw").repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
+    part = F.col("_draw.words") < F.col("size")
+    each = each.withColumn(text, F.when(part, first_words(F.col(text), F.col("_draw.words"))).otherwise(F.col(text)))
+    return each.drop("_draw").repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
 
 
-@F.pandas_udf(T.StringType())
-def first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
-    """Each text up to the end of so many words."""
-    import re
-
-    def cut(text: str, n: int) -> str:
-        end = 0
-        for _, m in zip(range(int(n)), re.finditer(WORD, text), strict=False):
-            end = m.end()
-        return text[:end]
-
-    return pd.Series([cut(t, n) for t, n in zip(texts, words, strict=True)], dtype=object)
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of so many words, of which it must have more: what split leaves unsplit is cut off."""
+    led = F.when(text.rlike(rf"^[{SPACES}]"), 1).otherwise(0)
+    rest = F.element_at(F.split(text, f"[{SPACES}]+", (words + 1 + led).cast("int")), -1)
+    return F.rtrim(F.left(text, F.length(text) - F.length(rest)), F.lit(" \t\n\x0b\f\r"))

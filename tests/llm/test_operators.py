@@ -291,6 +291,14 @@ def test_mixing_targets_and_tree():
     assert split.sum(axis=0).tolist() == [7, 0, 30, 5] and split.sum(axis=1).tolist() == [7] * 6
 
 
+def test_first_words_equal_a_plain_cut(spark):
+    texts = ["a b  c\td\n", "  lead and more", "\x0bé 😀 x\u00a0y z ", "one\r\ntwo three", "w " * 20_000]
+    cases = [(t, n) for t in texts for n in (1, 2, len(t.split(" ")) // 2) if 0 < n < len(re.findall(mixing.WORD, t))]
+    rows = spark.createDataFrame(cases, "t string, n long").select("t", "n", mixing.first_words(F.col("t"), F.col("n")).alias("cut")).collect()
+    for r in rows:
+        assert r["cut"] == r["t"][: list(re.finditer(mixing.WORD, r["t"]))[r["n"] - 1].end()]
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://www.a.example.com/x?q=1", "<p>one</p>"), (2, "http://b.example.com/", "<p>one</p>"), (3, None, None), (4, "not a url", ""), (5, "https://a.example.com:8080/y z", "é" * 50_000), (5, "https://a.example.com:8080/y z", "é" * 50_000)]
     rows = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, record_type string")
