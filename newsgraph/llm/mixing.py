@@ -33,6 +33,8 @@ MAX_BLOCKS = 65_536
 BLOCKS_PER_SHARD = 64
 MAX_SHARDS = 1024
 REPEATS = 3
+# Sources whose table of a few numbers a row is sent to all tasks; beyond, Spark joins by shuffle.
+SENT_SOURCES = 10_000
 SEED = 20240517
 SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
@@ -114,6 +116,8 @@ def mix(measured: DataFrame, seed: int = SEED) -> DataFrame:
     sources = sources_of(light)
     names = [(i, s.name, s.size, s.target, s.blocks, s.words) for i, s in enumerate(sources)]
     of_source = spark.createDataFrame(names, "_s long, _name string, source_size long, target double, _blocks long, _words long")
+    if len(sources) <= SENT_SOURCES:
+        of_source = F.broadcast(of_source)  # else texts would be shuffled by source, the hottest of keys
 
     def placed(rows: DataFrame) -> DataFrame:
         rows = rows.join(of_source, F.col("source").eqNullSafe(F.col("_name")))
