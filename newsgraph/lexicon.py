@@ -106,3 +106,27 @@ SAMPLE = Lexicon(
     soft_block=("src1",),
     hard_block=("src19",),
 )
+
+# Provinces with common names, and areas that lie in one.
+PROVINCES = (
+    "กรุงเทพมหานคร", "กระบี่", "กาญจนบุรี", "กาฬสินธุ์", "กำแพงเพชร", "ขอนแก่น",
+    "จันทบุรี", "ฉะเชิงเทรา", "ชลบุรี", "ชัยนาท", "ชัยภูมิ", "ชุมพร", "เชียงราย",
+    "เชียงใหม่", "ตรัง", "ตราด", "ตาก", "นครนายก", "นครปฐม", "นครพนม", "นครราชสีมา",
+    "นครศรีธรรมราช", "นครสวรรค์", "นนทบุรี", "นราธิวาส", "น่าน", "บึงกาฬ", "บุรีรัมย์",
+    "ปทุมธานี", "ประจวบคีรีขันธ์", "ปราจีนบุรี", "ปัตตานี", "พระนครศรีอยุธยา", "พะเยา",
+    "พังงา", "พัทลุง", "พิจิตร", "พิษณุโลก", "เพชรบุรี", "เพชรบูรณ์", "แพร่", "ภูเก็ต",
+    "มหาสารคาม", "มุกดาหาร", "แม่ฮ่องสอน", "ยโสธร", "ยะลา", "ร้อยเอ็ด", "ระนอง",
+    "ระยอง", "ราชบุรี", "ลพบุรี", "ลำปาง", "ลำพูน", "เลย", "ศรีสะเกษ", "สกลนคร",
+    "สงขลา", "สตูล", "สมุทรปราการ", "สมุทรสงคราม", "สมุทรสาคร", "สระแก้ว", "สระบุรี",
+    "สิงห์บุรี", "สุโขทัย", "สุพรรณบุรี", "สุราษฎร์ธานี", "สุรินทร์", "หนองคาย",
+    "หนองบัวลำภู", "อ่างทอง", "อำนาจเจริญ", "อุดรธานี", "อุตรดิตถ์", "อุทัยธานี", "อุบลราชธานี",
+    "กทม", "กทม.", "โคราช", "พัทยา", "หาดใหญ่",
+)
+AREAS = {
+    "สน.": "กรุงเทพมหานคร", "ทองหล่อ": "กรุงเทพมหานคร", "ลาดพร้าว": "กรุงเทพมหานคร", "รามคำแหง": "กรุงเทพมหานคร",
+    "บางนา": "กรุงเทพมหานคร", "ดินแดง": "กรุงเทพมหานคร", "สุขุมวิท": "กรุงเทพมหานคร", "รัชดา": "กรุงเทพมหานคร",
+    "พระราม 2": "กรุงเทพมหานคร", "วิภาวดี": "กรุงเทพมหานคร", "กล้วยน้ำไท": "กรุงเทพมหานคร", "บางบัวทอง": "นนทบุรี",
+    "ปากเกร็ด": "นนทบุรี", "รังสิต": "ปทุมธานี", "ลำลูกกา": "ปทุมธานี", "ศรีราชา": "ชลบุรี", "บางแสน": "ชลบุรี",
+    "แหลมฉบัง": "ชลบุรี", "หัวหิน": "ประจวบคีรีขันธ์", "ปากช่อง": "นครราชสีมา", "แม่สอด": "ตาก", "เบตง": "ยะลา",
+    "สมุย": "สุราษฎร์ธานี", "ป่าตอง": "ภูเก็ต", "สุวรรณภูมิ": "สมุทรปราการ", "ดอนเมือง": "กรุงเทพมหานคร",
+}

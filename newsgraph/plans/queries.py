@@ -11,6 +11,7 @@ from newsgraph.functions import text as X
 from newsgraph.lexicon import SAMPLE
 from newsgraph.operators import classify as C
 from newsgraph.operators import cluster, match, rollup, rows, similarity, views
+from newsgraph.operators.casualties import read_casualties
 from newsgraph.sources import feeds, outlets
 from newsgraph.tables import materialize, shared_dir, table, table_path
 
@@ -479,3 +480,12 @@ def r3_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         ingest(stream_items(spark, landed, schema, "ts"), "event_id", "ts", "60 days", target, f"{target}-checkpoint").awaitTermination()
     stored = spark.read.parquet(target)
     return stored.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""SELECT event_id, floor(abs(value))::BIGINT AS deaths, CASE WHEN value IS NOT NULL THEN (event_id % 50)::BIGINT END AS injuries, CASE WHEN value IS NOT NULL THEN 'D1' END AS rule FROM events""")
+def k15_casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the events written as headlines and read back."""
+    count = lambda c: c.cast("long").cast("string")
+    headline = F.concat(F.lit("เมาขับชนดับ "), count(F.floor(F.abs("value"))), F.lit(" ราย เจ็บ "), count(F.col("event_id") % 50), F.lit(" คน"))
+    read = table(spark, sf_dir, "events").select("event_id", read_casualties(headline).alias("r"))
+    return read.select("event_id", F.col("r.deaths.value").alias("deaths"), F.col("r.injuries.value").alias("injuries"), F.col("r.deaths.rule").alias("rule"))
