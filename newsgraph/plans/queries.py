@@ -72,13 +72,13 @@ def _hit_sql(text: str, terms: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN contains({text}, '{t}') THEN '{t}'" for t in terms) + " END"
 
 
-def _classify_sql() -> str:
+def _classify_sql(title: str = _TITLE, summary: str = _SUMMARY) -> str:
     guard = lambda s: s if not SAMPLE.place_guard else "replace(" * len(SAMPLE.place_guard) + s + "".join(f", '{p}', '')" for p in SAMPLE.place_guard)
     names = ("decisive", "test_strong", "test_weak", "checkpoint_strong", "checkpoint_weak", "driving", "enforcement", "crash", "alcohol", "campaign", "negative", "evergreen")
     hits = ", ".join(f"{_hit_sql('body', getattr(SAMPLE, n))} AS {n}" for n in names)
     any_of = lambda terms: " OR ".join(f"contains(lower(source), '{t}')" for t in terms)
     return f"""
-WITH t AS (SELECT doc_id, source, {guard(_match(_TITLE))} AS head, {guard(_match("concat_ws(' ', " + _TITLE + ", " + _SUMMARY + ")"))} AS body FROM documents),
+WITH t AS (SELECT doc_id, source, {guard(_match(title))} AS head, {guard(_match("concat_ws(' ', " + title + ", " + summary + ")"))} AS body FROM documents),
 h AS (SELECT doc_id, source, {_hit_sql('head', SAMPLE.decisive)} AS in_title, {hits}, ({any_of(SAMPLE.soft_block)}) AS social, ({any_of(SAMPLE.hard_block)}) AS blocked FROM t),
 l AS (SELECT *, CASE
   WHEN in_title IS NOT NULL THEN {{'level': 'high', 'why': 'dui-title: ' || in_title}}
@@ -116,6 +116,55 @@ def x8_search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled(spark, sf_dir).select("doc_id", X.search_key(F.col("title")).alias("search_key"))
 
 
+# The same over whole texts: the first line is the title, all that follows the summary.
+_LINE = "split_part(text, chr(10), 1)"
+_REST = f"substr(text, length({_LINE}) + 2)"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    line = F.substring_index("text", "\n", 1)
+    return docs.select("doc_id", "source", "text", line.alias("title"), F.substr("text", F.length(line) + 2).alias("summary"), X.squeeze_for_match(F.col("text")).alias("text_key"))
+
+
+@query(f"SELECT doc_id, {_match('text')} AS text_key FROM documents")
+def c1_whole_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).select("doc_id", "text_key")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, source, sha256({_match('text')}) AS text_key FROM documents)
+SELECT doc_id, source, text_key FROM (SELECT *, row_number() OVER (PARTITION BY text_key ORDER BY doc_id) AS r FROM t) WHERE r = 1""")
+def c9_first_whole_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.first_wins(_whole(spark, sf_dir).select("doc_id", "source", F.sha2("text_key", 256).alias("text_key")), ["text_key"], F.col("doc_id"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, sha256({_match('text')}) AS text_key FROM documents)
+SELECT doc_id, text_key FROM t WHERE doc_id % 2 = 1 AND text_key IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM t s WHERE s.doc_id % 2 = 0 AND s.text_key = t.text_key)""")
+def w1_new_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _whole(spark, sf_dir).select("doc_id", F.sha2("text_key", 256).alias("text_key"))
+    return rows.new_rows(t.filter("doc_id % 2 = 1"), t.filter("doc_id % 2 = 0"), "text_key").select("doc_id", "text_key")
+
+
+@query(_classify_sql(_LINE, _REST))
+def c8_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classify(_whole(spark, sf_dir), SAMPLE).select("doc_id", "passed", "confidence", "reason")
+
+
+@query(f"""
+WITH t AS ({_classify_sql(_LINE, _REST)}) SELECT count(*) AS fetched, count(*) FILTER (passed) AS passed,
+  count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium FROM t""")
+def a13_whole_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c8_classify_whole(spark, sf_dir).agg(F.count("*").alias("fetched"), views.count_if(F.col("passed"), "passed"), views.count_if(F.col("confidence") == "high", "high"), views.count_if(F.col("confidence") == "medium", "medium"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^\\x{0E01}-\\x{0E59}a-zA-Z0-9]', '', 'g') AS search_key FROM documents")
+def x8_whole_search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).select("doc_id", X.search_key(F.col("text")).alias("search_key"))
+
+
 @query("SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")
 def x21_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.host_of(F.col("url")).alias("host"))
