@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgraph.tables import materialize
+
 
 def first_wins(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order; a null key is a key."""
@@ -28,12 +30,12 @@ def owners(rejected: DataFrame, stored: DataFrame) -> DataFrame:
 def systematic_sample(df: DataFrame, size: int, *order: Column) -> DataFrame:
     """Every n-th row of a total order, n chosen so that ``size`` rows come out.
 
-    Places come from counts of ranges of the order, so no task sees more than its own range.
+    Places come from counts of ranges of the order, so no task sees more than its own range. The ranges
+    are written once: dealt a second time, their bounds could differ from those that were counted.
     """
-    total = df.count()
-    step = max(1, total // size)
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).toLocalIterator())
+    step = max(1, sum(n for _, n in counts) // size)
     starts, at = [], 0
     for part, n in counts:
         starts.append((part, at))

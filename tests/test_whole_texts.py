@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsgraph.lexicon import SAMPLE
+from newsgraph.operators import rows
 from newsgraph.plans.queries import QUERIES
 
 FILL = "plain filling " * 60
@@ -24,3 +25,18 @@ def test_late_terms_and_endings_count(spark, tmp_path):
     assert sorted(r["doc_id"] for r in QUERIES["w1_new_whole_rows"](spark, sf).collect()) == [1, 3]
     assert {r["doc_id"] for r in QUERIES["c1_whole_key"](spark, sf).filter(F.col("text_key").endswith("otherend")).collect()} == {3}
     assert {r["doc_id"] for r in QUERIES["x8_whole_search_key"](spark, sf).filter(F.col("search_key").endswith("otherend")).collect()} == {3}
+
+
+def test_sample_of_several_ranges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        df = spark.range(0, 200_000, 1, 4).select((F.col("id") * 7919 % 200_003).alias("id"))
+        plain = sorted(r["id"] for r in df.collect())
+        for size in (1000, 777):
+            step = len(plain) // size
+            assert sorted(r["id"] for r in rows.systematic_sample(df, size, F.col("id")).collect()) == plain[::step][:size]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
