@@ -468,6 +468,20 @@ def w3_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.owners(d.filter("doc_id % 3 = 1"), stored).select("doc_id", "owner")
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, sha256(text) AS url, sha256({_match('text')}) AS title_key FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY doc_id) AS r FROM t),
+s AS (SELECT doc_id AS id, url, title_key FROM n WHERE r = 1)
+SELECT n.doc_id, coalesce((SELECT arg_min(id, id) FROM s WHERE s.url = n.url), (SELECT arg_min(id, id) FROM s WHERE s.title_key = n.title_key))::BIGINT AS owner FROM n WHERE r > 1""")
+def w3_all_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document takes part: the first of each text key is stored, all others are rejected. The text as it is stands for the url."""
+    keys = _whole(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("url"), F.sha2("text_key", 256).alias("title_key"))
+    d = materialize(keys, "owner-keys")
+    stored = d.groupBy("title_key").agg(F.min("doc_id").alias("id"), F.min_by("url", "doc_id").alias("url")).withColumn("story_id", F.col("id"))
+    rejected = d.join(stored.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    return rows.owners(rejected, stored).select("doc_id", "owner")
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def w4_not_orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")

@@ -27,6 +27,13 @@ def test_late_terms_and_endings_count(spark, tmp_path):
     assert {r["doc_id"] for r in QUERIES["x8_whole_search_key"](spark, sf).filter(F.col("search_key").endswith("otherend")).collect()} == {3}
 
 
+def test_every_document_has_an_owner_or_is_one(spark, tmp_path):
+    long = FILL + FILL
+    sf = _documents(spark, tmp_path, [long, long + "a", long, long + "b", long + " A", long + "b", long + "c"])
+    got = {r["doc_id"]: r["owner"] for r in QUERIES["w3_all_owners"](spark, sf).collect()}
+    assert got == {2: 0, 4: 1, 5: 3}
+
+
 def test_sample_of_several_ranges(spark):
     kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
     try:
