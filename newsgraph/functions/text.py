@@ -128,6 +128,14 @@ def trigrams(key: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def trigrams_of_long(key: Column) -> Column:
+    """The same as ``trigrams``, in time linear in the length: letters are split once and then taken by place."""
+    letters = F.split(F.concat(F.lit("  "), F.lower(key), F.lit(" ")), "")
+    triple = lambda c: lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2))
+    once = F.transform(F.array(letters), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 2), triple(c))))
+    return F.element_at(once, 1)
+
+
 def set_similarity(a: Column, b: Column) -> Column:
     """Shared over all members of two arrays of distinct values, in single precision."""
     both = F.size(F.array_intersect(a, b))

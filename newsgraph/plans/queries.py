@@ -251,6 +251,31 @@ def j6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.candidates(sets, sets, 0.35, 60).select("left_id", "right_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), _n(F.col("rank")).alias("rank"))
 
 
+@query()
+def x27_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of neighbours within a source; held against plain Python in the tests, as the SQL is quadratic in the length."""
+    docs = table(spark, sf_dir, "documents")
+    follows = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = docs.select("doc_id", "source").withColumn("_next", follows).filter("_next IS NOT NULL").select("doc_id", "_next")
+    second = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("_next"), F.col("text").alias("b"))
+    both = pairs.join(docs.select("doc_id", F.col("text").alias("a")), "doc_id").join(second, "_next")
+    return both.select("doc_id", F.round(similarity.dice_of_long(F.col("a"), F.col("b")), 6).alias("dice"))
+
+
+@query()
+def j6_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by whole texts across sources, or by region, within 14 days; held against brute force in the tests.
+
+    Documents have neither region nor date: the source stands for the region, one document an hour for the date.
+    """
+    key = F.regexp_replace("text", "[^a-zA-Z0-9]", "")
+    at = F.timestamp_seconds(F.col("doc_id") * 3600)
+    sets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), at.alias("published"), F.array_compact(F.array("source")).alias("regions"), X.trigrams_of_long(key).alias("grams"))
+    sets = materialize(sets, "story-candidates")
+    found = similarity.story_candidates(sets, sets, 0.35, 60, match.FOLLOW_UP_DAYS)
+    return found.select("left_id", "right_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), _n(F.col("rank")).alias("rank"))
+
+
 @query("""
 SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key, round(abs(epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) / 86400000000.0, 6) AS days
 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) <= 14 * 86400000000""")
