@@ -160,8 +160,6 @@ class _Classes(dict):
         self.field = field
 
     def __missing__(self, word: str) -> int:
-        if word == "\0":
-            return 0
         low = word.lower()
         field = self.field
         found = field.classes.get(f"={low}" if low in field.context else shape(word), field.unseen)
@@ -241,6 +239,7 @@ class Field:
         gain[0] += into[1:]
         for m in range(len(METHOD)):
             gain[0, :, 2 * m] += max(0.0, self.pair[2 * m + 1 : 2 * m + 3, 0].max() - self.pair[0, 0])
+            gain[1, 0, 2 * m] += max(0.0, -into[2 * m + 1])  # the first word of a line has no pair weight before it
         gain[0, 0] = -1e4
         return np.ascontiguousarray(gain.transpose(0, 2, 1))
 
@@ -330,15 +329,18 @@ def spans_of(texts: list[str | None], tagger: Field, of: _Classes) -> list[list[
     of = of.__getitem__
     lines, owners = [], []
     for d, text in enumerate(texts):
-        words = (text or "").replace("\n", " \0 ").split()
-        if not words or not len(at := tagger.doubtful(np.fromiter(map(of, words), np.int32, len(words)))):
+        rows = [line.split() for line in (text or "").split("\n")]
+        ends = np.cumsum([len(words) + 1 for words in rows])
+        coded = np.zeros(ends[-1], np.int32)  # class 0 stands after each line
+        for words, end in zip(rows, ends.tolist(), strict=True):
+            coded[end - 1 - len(words) : end - 1] = [of(w) for w in words]
+        if not len(at := tagger.doubtful(coded)):
             continue
-        doubted = set((np.cumsum([w == "\0" for w in words])[at]).tolist())
+        doubted = set(np.searchsorted(ends, at, side="right").tolist())
         start = 0
         for number, line in enumerate(text.split("\n")):
-            words = line.split() if number in doubted else []
-            if words:
-                lines.append(np.fromiter(map(of, words), np.int32, len(words)))
+            if number in doubted and rows[number]:
+                lines.append(coded[ends[number] - 1 - len(rows[number]) : ends[number] - 1])
                 owners.append((d, start, start + len(line)))
             start += len(line) + 1
     own: list[list[tuple[str, int, int]]] = [[] for _ in texts]
