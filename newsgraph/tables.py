@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the one in spark.checkpoint.dir.
 
-    Where the setting is absent (a bare local session, as in tests) a temporary folder is
-    set on the context, which is safe because one machine holds everything.
+    Where the setting is absent in a local session (as in tests) a temporary folder is set on the
+    context, which is safe because one machine holds everything; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="newsgraph-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -26,13 +28,23 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/newsgraph/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may go."""
     path = table_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """``materialize`` into so many buckets by ``key``, without a shuffle: a join on ``key`` then moves the other side only."""
+    spark = df.sparkSession
+    path = table_path(spark, name)
+    table_name = f"newsgraph_{path.rpartition('/')[2].replace('-', '_')}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete an intermediate table once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
