@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.llm import bpe, mixing, near_duplicates, pii, toxicity
-from newsgraph.llm.common import materialize, table
+from newsgraph.tables import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
