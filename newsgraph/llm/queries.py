@@ -7,15 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, toxicity, training_order, warc
-from newsgraph.llm.common import materialize, table
+from newsgraph.tables import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's sequences, written to shards in training order and read back."""
-    encoded = training_order.sequences(table(spark, sf_dir, "documents"), TOKENIZER)
-    return training_order.read_from(training_order.write_shards(encoded, TOKENIZER)).drop("ids")
+    return training_order.read_from(training_order.write_shards(table(spark, sf_dir, "documents"), TOKENIZER)).drop("ids")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

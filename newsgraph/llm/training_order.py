@@ -1,36 +1,43 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
-``sequences`` encodes every text, ends it with the separator id and cuts it into sequences of
-``LENGTH`` ids; each gets a number, dense over the table. A keyed Feistel network over the smallest
-even number of bits that holds all numbers permutes them, walking the cycle until the result is in
-range again, so every sequence has a global slot of its own without any sort. ``write_shards`` deals
-slots by range and packs each range into shards of ``SLOTS`` records of equal stride; slot s lies in
-shard s // SLOTS at byte (s % SLOTS) * STRIDE. ``read_from`` reads on from any slot.
+Every text is encoded, ended with the separator id and cut into sequences of ``LENGTH`` ids. The
+sequences are numbered densely in the order of a hash of (doc_id, text), then doc_id, then place in
+the document, so a number depends on the rows alone, not on files, partitions or cores. A keyed
+Feistel network over the smallest even number of bits that holds all numbers permutes them, walking
+the cycle until the result is in range again, so every sequence has a global slot of its own.
+``write_shards`` deals slots by range and packs each range into shards of ``SLOTS`` records of equal
+stride; slot s lies in shard s // SLOTS at byte (s % SLOTS) * STRIDE of its data. ``read_from`` reads
+on from any slot.
 
 A record is doc_id (int64, its least value for null), number of the sequence in the document
 (int32), ids in use (int32) and LENGTH unsigned 16-bit ids, little-endian; unused places hold the
 separator. Shards are rows of a table written by Spark; a lost executor's shards are written again.
 
-Sequences are numbered as the encoded table is written, by part and place in it; the order is fixed
-by that table, and made again from the same files and partitions it is the same.
+Ids move once, to their slots. Numbers are settled on a table without texts (hash, doc_id, count of
+sequences) and meet the ids part by part: the encoded table is bucketed by part as it is written, so
+the join moves numbers only.
 
 Edge cases: null and empty texts are one sequence, the separator alone; repeated rows have slots of
-their own; an empty table gives no shards; other columns are ignored.
+their own (which of two equal rows has which is of no effect, as their records are equal); an empty
+table gives no shards; other columns are ignored; a special token in a text is its id.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.llm.bpe import vocabulary
-from newsgraph.llm.common import materialize
+from newsgraph.tables import drop_table, materialize, materialize_bucketed
 
 LENGTH = 512
 SLOTS = 1024
@@ -39,6 +46,13 @@ SEPARATOR = "<|endoftext|>"
 ROUNDS = 4
 KEY = 20240601
 NO_ID = -(1 << 63)
+# Rows of a part (one array of numbers each), of a bucket of parts, and of a range of the numbering.
+PART_ROWS = 4096
+BUCKET_ROWS = 4 * PART_ROWS
+MAX_BUCKETS = 65_536
+NUMBER_ROWS = 65_536
+# Longer words are merged by our own encoder, in n log n.
+LONG_WORD = 1000
 
 
 def feistel(x: np.ndarray, bits: int, key: int) -> np.ndarray:
@@ -61,42 +75,75 @@ def slots_of(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@lru_cache(maxsize=4)
+def encoder(tokenizer: str) -> Callable[[str], np.ndarray]:
+    """Text to 16-bit ids, the separator last; by the compiled library where the vocabulary's ids stand in order of its merges."""
+    words = vocabulary(tokenizer)
+    if len(words.token_bytes) > 1 << 16:
+        raise ValueError("ids of this vocabulary don't fit 16 bits")
+    end = np.array([words.special[SEPARATOR]], "<u2")
+    special = set(words.special.values())
+    compiled = None
+    if words.result == sorted(words.result):
+        ranks = {token: i for i, token in enumerate(words.token_bytes) if i not in special}
+        compiled = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(text: str | None) -> np.ndarray:
+        text = text or ""
+        plain = compiled and not any(t in text for t in words.special) and max(map(len, text.split()), default=0) < LONG_WORD
+        ids = np.array(compiled(text), "<u2") if plain else np.frombuffer(words.encode(text), "<u4").astype("<u2")
+        return np.concatenate([ids, end])
+
+    return encode
+
+
 def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The encoded table: ``part, first, count, doc_id, ids`` (16-bit ids), written."""
+    """The encoded table: ``part, place, hash, doc_id, count, ids`` (16-bit ids), written in buckets of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, first = vocabulary(tokenizer), TaskContext.get().partitionId(), 0
-        if len(words.token_bytes) > 1 << 16:
-            raise ValueError("ids of this vocabulary don't fit 16 bits")
-        end = np.array([words.special[SEPARATOR]], "<u2")
+        encode, row, first = encoder(tokenizer), 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                ids = np.concatenate([np.frombuffer(words.encode(text or ""), "<u4").astype("<u2"), end])
-                count = -(-len(ids) // LENGTH)
-                rows.append((first, count, ids.tobytes()))
-                first += count
-            starts, counts, data = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(rows), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), batch.column("doc_id"), pa.array(data, pa.binary())],
-                names=["part", "first", "count", "doc_id", "ids"],
-            )
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(docs.mapInArrow(run, "part long, first long, count long, doc_id long, ids binary"), "train-ids")
-
-
-def write_shards(encoded: DataFrame, tokenizer: str, key: int = KEY) -> DataFrame:
-    """Shards as a written table: ``shard, first_slot, records, data``."""
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids = [encode(text) for text in some.column("text").to_pylist()]
+                rows = np.arange(row, row + len(ids))
+                row += len(ids)
+                columns = [pa.array(first + rows // PART_ROWS), pa.array(rows % PART_ROWS), some.column("hash"), some.column("doc_id")]
+                columns += [pa.array([-(-len(i) // LENGTH) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "place", "hash", "doc_id", "count", "ids"])
+
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), "text", F.xxhash64(doc_id, "text").alias("hash"))
+    buckets = min(MAX_BUCKETS, max(1, -(-docs.count() // BUCKET_ROWS)))
+    return materialize_bucketed(rows.mapInArrow(run, "part long, place long, hash long, doc_id long, count long, ids binary"), "train-ids", buckets, "part")
+
+
+def numbered(encoded: DataFrame) -> tuple[DataFrame, int]:
+    """(``first, count, doc_id, ids``: the number of each document's first sequence, number of all sequences)."""
     spark = encoded.sparkSession
-    # One count per part of the encoded table, as many as its tasks.
-    counts = sorted((r["part"], r["n"]) for r in encoded.groupBy("part").agg(F.sum("count").alias("n")).toLocalIterator())
-    starts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).astype(int).tolist()
-    total = starts[-1]
-    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts, strict=False)], "part long, start long")
+    light = encoded.select("part", "place", "hash", "doc_id", "count")
+    ranges = max(1, -(-encoded.count() // NUMBER_ROWS))
+    # Equal ranges of the hash, which is uniform: the top 32 bits, from 0 on, times the ranges.
+    light = light.withColumn("range", F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * F.lit(ranges), 32))
+    # One sum per NUMBER_ROWS documents.
+    sums = sorted((r["range"], r["n"]) for r in light.groupBy("range").agg(F.sum("count").alias("n")).toLocalIterator())
+    ends = np.cumsum([n for _, n in sums], dtype=np.int64).tolist()
+    offsets = spark.createDataFrame([(r, end - n) for (r, n), end in zip(sums, ends, strict=True)], "range long, offset long")
+    before = Window.partitionBy("range").orderBy("hash", "doc_id", "part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).join(offsets, "range")
+    of_part = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("offset") + F.col("ahead")).alias("first")))).alias("firsts"))
+    found = encoded.join(of_part.select("part", F.col("firsts.first").alias("firsts")), "part")
+    return found.select(F.element_at("firsts", (F.col("place") + 1).cast("int")).alias("first"), "count", "doc_id", "ids"), ends[-1] if ends else 0
+
+
+def write_shards(docs: DataFrame, tokenizer: str, key: int = KEY) -> DataFrame:
+    """Shards as a written table: ``shard, first_slot, records, data``."""
+    spark = docs.sparkSession
+    encoded = sequences(docs, tokenizer)
+    each, total = numbered(encoded)
+    separator = vocabulary(tokenizer).special[SEPARATOR]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        separator = vocabulary_separator
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = [c.to_pylist() for c in batch.slice(at, 256).columns]
@@ -136,14 +183,14 @@ def write_shards(encoded: DataFrame, tokenizer: str, key: int = KEY) -> DataFram
         if held:
             yield shard()
 
-    vocabulary_separator = vocabulary(tokenizer).special[SEPARATOR]
     count = max(1, -(-total // SLOTS))
     parts = max(1, min(count, -(-total // (16 * SLOTS))))
-    each = encoded.join(offsets, "part").select((F.col("start") + F.col("first")).alias("first"), "count", "doc_id", "ids")
     dealt = each.mapInArrow(records, "slot long, record binary")
     # Ranges of slots are known without sampling: as many whole shards to each partition.
     ranged = dealt.repartitionById(parts, (F.floor(F.col("slot") / SLOTS) * parts / count).cast("int")).sortWithinPartitions("slot")
-    return materialize(ranged.mapInArrow(shards, "shard long, first_slot long, records long, data binary"), "train-shards")
+    written = materialize(ranged.mapInArrow(shards, "shard long, first_slot long, records long, data binary"), "train-shards", "zstd")
+    drop_table(spark, encoded)
+    return written
 
 
 def read_from(shards: DataFrame, slot: int = 0) -> DataFrame:

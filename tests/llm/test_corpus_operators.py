@@ -331,7 +331,7 @@ def test_training_order(spark, odd, empty):
     for total in (1, 2, 3, 5, 1000, 4097):
         assert sorted(training_order.slots_of(np.arange(total), total).tolist()) == list(range(total))
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("doc_id IS NULL"))
-    shards = training_order.write_shards(training_order.sequences(docs, PATH), PATH)
+    shards = training_order.write_shards(docs, PATH)
     rows = training_order.read_from(shards).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     words, parts = bpe.vocabulary(PATH), defaultdict(dict)
@@ -342,5 +342,21 @@ def test_training_order(spark, odd, empty):
         assert b"".join(parts[r["doc_id"]][i] for i in range(len(parts[r["doc_id"]]))) == ids.tobytes()
     late = training_order.read_from(shards, 300).collect()
     assert sorted(r["slot"] for r in late) == list(range(300, len(rows)))
-    assert training_order.read_from(training_order.write_shards(training_order.sequences(empty, PATH), PATH)).count() == 0
-    assert training_order.read_from(training_order.write_shards(training_order.sequences(odd, PATH), PATH)).select("doc_id").distinct().count() == 7
+    assert training_order.read_from(training_order.write_shards(empty, PATH)).count() == 0
+    assert training_order.read_from(training_order.write_shards(odd, PATH)).select("doc_id").distinct().count() == 7
+
+
+def test_training_order_is_the_same_under_another_partitioning(spark, odd, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    order = lambda d: sorted((r["slot"], r["doc_id"], r["number"], r["crc32"]) for r in training_order.read_from(training_order.write_shards(d, PATH)).collect())
+    plain = order(docs.coalesce(1))
+    monkeypatch.setattr(training_order, "PART_ROWS", 16)
+    monkeypatch.setattr(training_order, "BUCKET_ROWS", 32)
+    monkeypatch.setattr(training_order, "NUMBER_ROWS", 50)
+    assert order(docs.repartition(7)) == plain
+
+
+def test_training_order_encoder_equals_the_own_one():
+    words, encode = bpe.vocabulary(PATH), training_order.encoder(PATH)
+    for text in [*TEXTS, LONG, None]:
+        assert encode(text).tolist() == [*np.frombuffer(words.encode(text or ""), "<u4").tolist(), 50256]
