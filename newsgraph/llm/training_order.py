@@ -97,7 +97,7 @@ def encoder(tokenizer: str) -> Callable[[str], np.ndarray]:
     return encode
 
 
-def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
     """The encoded table: ``part, place, hash, doc_id, count, ids`` (16-bit ids), written in buckets of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +114,10 @@ def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), "text", F.xxhash64(doc_id, "text").alias("hash"))
-    buckets = min(MAX_BUCKETS, max(1, -(-docs.count() // BUCKET_ROWS)))
     return materialize_bucketed(rows.mapInArrow(run, "part long, place long, hash long, doc_id long, count long, ids binary"), "train-ids", buckets, "part")
 
 
-def numbered(encoded: DataFrame) -> tuple[DataFrame, int]:
+def numbered(encoded: DataFrame, buckets: int) -> tuple[DataFrame, int]:
     """(``first, count, doc_id, ids``: the number of each document's first sequence, number of all sequences)."""
     spark = encoded.sparkSession
     light = encoded.select("part", "place", "hash", "doc_id", "count")
@@ -131,7 +130,8 @@ def numbered(encoded: DataFrame) -> tuple[DataFrame, int]:
     offsets = spark.createDataFrame([(r, end - n) for (r, n), end in zip(sums, ends, strict=True)], "range long, offset long")
     before = Window.partitionBy("range").orderBy("hash", "doc_id", "part", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = light.withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).join(offsets, "range")
-    of_part = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("offset") + F.col("ahead")).alias("first")))).alias("firsts"))
+    # Dealt as the buckets are, so that the ids stay where they were written.
+    of_part = placed.repartition(buckets, "part").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("offset") + F.col("ahead")).alias("first")))).alias("firsts"))
     found = encoded.join(of_part.select("part", F.col("firsts.first").alias("firsts")), "part")
     return found.select(F.element_at("firsts", (F.col("place") + 1).cast("int")).alias("first"), "count", "doc_id", "ids"), ends[-1] if ends else 0
 
@@ -139,8 +139,9 @@ def numbered(encoded: DataFrame) -> tuple[DataFrame, int]:
 def write_shards(docs: DataFrame, tokenizer: str, key: int = KEY) -> DataFrame:
     """Shards as a written table: ``shard, first_slot, records, data``."""
     spark = docs.sparkSession
-    encoded = sequences(docs, tokenizer)
-    each, total = numbered(encoded)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BUCKETS, -(-docs.count() // BUCKET_ROWS)))
+    encoded = sequences(docs, tokenizer, buckets)
+    each, total = numbered(encoded, buckets)
     separator = vocabulary(tokenizer).special[SEPARATOR]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
