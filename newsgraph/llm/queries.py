@@ -66,9 +66,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to an archive and read all records back by the capture index."""
-    archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
-    blocks, _ = warc.write_index(archives)
-    records = warc.read_records(warc.captures_of(blocks), archives)
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages, min_bytes=0)
+    captures = warc.lookup(pages.select("url"), *warc.write_index(archives))
+    records = warc.read_records(captures, archives)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -92,4 +93,42 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+# Where SQL says the same. Training, graphs, merges and draws have no SQL form; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5""",
+    "op7_near_duplicates": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), u AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        f AS (
+            SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS shingle
+            FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), e AS (SELECT DISTINCT doc_id, shingle FROM f WHERE i <= greatest(n - 4, 1)),
+        n AS (SELECT w.doc_id, count(e.shingle) AS size FROM w LEFT JOIN e ON e.doc_id = w.doc_id GROUP BY w.doc_id),
+        linked AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.size, nb.size HAVING 100 * count(*) >= 85 * (na.size + nb.size - count(*))
+        ), reach AS (SELECT u AS node, v AS other FROM linked UNION SELECT r.node, l.v FROM reach r JOIN linked l ON r.other = l.u)
+        SELECT n.doc_id, CAST(n.size AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(min(r.other), n.doc_id)) AS component_id,
+            least(n.doc_id, coalesce(min(r.other), n.doc_id)) = n.doc_id AS kept
+        FROM n LEFT JOIN reach r ON r.node = n.doc_id GROUP BY n.doc_id, n.size""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS kept FROM p)
+        SELECT page_id, payload_bytes,
+            list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((
+                (strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) * 16
+                + strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1) // CAST(pow(2, 3 - 5 * i % 4) AS INTEGER) % 32 + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM d""",
+}

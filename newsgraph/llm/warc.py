@@ -3,15 +3,18 @@
 ``write_archives`` turns every page into a WARC 1.1 record (gzipped by itself, so it can be read
 alone) and packs records into archives of about ``ARCHIVE_BYTES``. Of pages with equal payloads the
 one with the largest page_id becomes a response, the others revisits that refer to it and carry no
-payload.
+payload. Which page is kept is settled on digests alone; the records, compressed, then move once, a
+payload's rows spread over ``SALTS`` tasks, and those that turn out as revisits leave their payload.
 
 ``write_index`` sorts all captures by reversed-host key into compressed blocks of ``BLOCK_LINES``.
 Above the blocks stands the directory, one row per range of the sort with its blocks' first keys.
 ``lookup`` finds a URL's range and block by binary search, reads that block alone, and from it the
-record's archive, offset and length; ``read_records`` then reads just those bytes.
+record's archive, offset and length; ``read_records`` then cuts just those bytes out of the archive.
 
 Archives, blocks and directory are tables written by Spark in the shared folder, archives as binary
-rows: any store Spark can write will do, and a lost executor's files are written again.
+cells in buckets by name, so that reading moves captures only: any store Spark can write will do,
+and a lost executor's files are written again. A cell is loaded whole by the task that reads from
+it; only the wanted bytes are decompressed and handed on.
 
 Edge cases: a null html is an empty payload, a null url an empty one, control characters in urls are
 percent-encoded; rows that repeat the largest page_id of a payload are all responses; a null page_id
@@ -34,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.tables import materialize
+from newsgraph.tables import materialize, materialize_bucketed
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 1000
 RANGE_LINES = 64 * BLOCK_LINES
 MAX_RANGES = 4096
+# Tasks over which the rows of one payload, and the urls asked of one range or block, are spread.
+SALTS, ASKED_PARTS = 16, 8
 RECORD_DATE = "2024-01-01T00:00:00Z"
 _ID = re.compile(r"<urn:page:(-?[0-9]*)>")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -59,17 +64,16 @@ def reversed_host_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + f"{place})" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One gzipped record."""
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if is_revisit else http + payload
+def record(page_id: int | None, uri: str, digest: str, length: int, payload: bytes | None, refers_to: int | None = None) -> bytes:
+    """One gzipped record; without a payload it is a revisit."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
+    block = http + (payload or b"")
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {RECORD_DATE}",
-        f"WARC-Target-URI: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url or '')}", f"WARC-Payload-Digest: sha1:{digest}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {RECORD_DATE}",
+        f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}",
     ]
-    if is_revisit:
+    if payload is None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -87,17 +91,35 @@ def parse(data: bytes) -> dict:
     return fields | {"payload": block[http_end + 4 :] if fields["WARC-Type"] == "response" else None, "length": length}
 
 
-def with_responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id, url, html, is_revisit, refers_to``: which of equal payloads is kept is settled by keys alone."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("_digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    largest = rows.groupBy("_digest").agg(F.max("page_id").alias("_kept"))
-    rows = rows.join(largest, "_digest").drop("_digest")
-    revisit = (F.octet_length("html") >= min_bytes) & F.coalesce(F.col("page_id") != F.col("_kept"), F.col("_kept").isNotNull())
-    return rows.select("page_id", "url", "html", revisit.alias("is_revisit"), F.when(revisit, F.col("_kept")).alias("refers_to"))
+def _columns(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    """Rows as a batch of the named columns."""
+    values = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds.values(), strict=True)], names=list(kinds))
 
 
-_CAPTURE = "key string, page_id long, offset long, length long"
+def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every page as a response, compressed; its digest is text in base 32."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = []
+            for page_id, url, html, salt in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                payload, uri = html.encode("utf-8"), _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
+                digest = hashlib.sha1(payload).digest()
+                rows.append((page_id, uri, reversed_host_key(url), salt, digest, len(payload), record(page_id, uri, base64.b32encode(digest).decode(), len(payload), payload)))
+            yield _columns(rows, page_id=pa.int64(), uri=pa.string(), key=pa.string(), salt=pa.int32(), digest=pa.binary(), size=pa.int64(), record=pa.binary())
+
+
+def with_responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``page_id, uri, key, digest, size, refers_to, record``: the record is null and refers_to set (or the page_id null) for revisits."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    light = rows.select("page_id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"))
+    repeated = light.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    packed = salted.mapInArrow(_responses, "page_id long, uri string, key string, salt int, digest binary, size long, record binary")
+    packed = packed.join(repeated.hint("shuffle_hash"), ["digest", "salt"], "left")
+    revisit = (F.col("size") >= min_bytes) & F.coalesce(F.col("page_id") != F.col("kept"), F.col("kept").isNotNull())
+    return packed.select("page_id", "uri", "key", "digest", "size", F.when(revisit, F.col("kept")).alias("refers_to"), F.when(~revisit, F.col("record")).alias("record"))
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +127,13 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def archive() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{number:05d}.warc.gz"]), pa.array([b"".join(records)], pa.binary()), pa.array([captures], kind)], names=["archive", "data", "captures"])
+        return _columns([(f"pages-{part:06d}-{number:05d}.warc.gz", b"".join(records), captures)], archive=pa.string(), data=pa.binary(), captures=kind)
 
     for batch in batches:
-        for page_id, url, html, is_revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = record(page_id, url, html.encode("utf-8"), refers_to, is_revisit)
-            captures.append({"key": reversed_host_key(url), "page_id": page_id, "offset": size, "length": len(data)})
+        for page_id, uri, key, digest, length, refers_to, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if data is None:
+                data = record(page_id, uri, base64.b32encode(digest).decode(), length, None, refers_to)
+            captures.append({"key": key, "page_id": page_id, "offset": size, "length": len(data)})
             records.append(data)
             size += len(data)
             if size >= ARCHIVE_BYTES:
@@ -120,9 +143,15 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield archive()
 
 
+def _buckets(df: DataFrame) -> int:
+    """Buckets of archives: as many as a shuffle of this session has partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives as a written table: ``archive, data, captures``."""
-    return materialize(with_responses(pages, min_bytes).mapInArrow(_write, f"archive string, data binary, captures array<struct<key:string,page_id:long,offset:long,length:long>>"), "warc")
+    written = with_responses(pages, min_bytes).mapInArrow(_write, "archive string, data binary, captures array<struct<key:string,page_id:long,offset:long,length:long>>")
+    return materialize_bucketed(written, "warc", _buckets(pages), "archive")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,18 +186,6 @@ def _lines(data: bytes) -> list[list]:
     return [json.loads(line) for line in zlib.decompress(data).decode("utf-8").split("\n")]
 
 
-def captures_of(blocks: DataFrame) -> DataFrame:
-    """All captures of the index: ``archive, page_id, offset, length``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                _, archive, page_id, offset, length = zip(*_lines(data), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(archive), pa.array(page_id, pa.int64()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["archive", "page_id", "offset", "length"])
-
-    return blocks.select("data").mapInArrow(run, "archive string, page_id long, offset long, length long")
-
-
 def lookup(urls: DataFrame, blocks: DataFrame, directory: DataFrame) -> DataFrame:
     """Captures of the given urls (column ``url``): ``url, archive, page_id, offset, length``."""
     # One first key per range, MAX_RANGES at most.
@@ -183,42 +200,45 @@ def lookup(urls: DataFrame, blocks: DataFrame, directory: DataFrame) -> DataFram
                 # Captures of one key may run over several ranges; all that can hold it are asked.
                 last = bisect.bisect_right(keys, key)
                 out += [(url, key, numbers[i]) for i in range(max(0, bisect.bisect_left(keys, key) - 1), last)]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["url", "key", "range"])
+            yield _columns(out, url=pa.string(), key=pa.string(), range=pa.int64())
 
     def to_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for url, key, number, first in zip(*(batch.column(n).to_pylist() for n in ("url", "key", "range", "first_keys")), strict=True):
-                out += [(url, key, number, i) for i in range(max(0, bisect.bisect_left(first, key) - 1), bisect.bisect_right(first, key))]
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["url", "key", "range", "block"])
+            for number, asked, first in zip(*(batch.column(n).to_pylist() for n in ("range", "asked", "first_keys")), strict=True):
+                for q in asked:
+                    out += [(q["url"], q["key"], number, i) for i in range(max(0, bisect.bisect_left(first, q["key"]) - 1), bisect.bisect_right(first, q["key"]))]
+            yield _columns(out, url=pa.string(), key=pa.string(), range=pa.int64(), block=pa.int64())
 
     def to_captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for url, key, data in zip(*(batch.column(n).to_pylist() for n in ("url", "key", "data")), strict=True):
-                lines = _lines(data)
-                at = bisect.bisect_left(lines, key, key=lambda line: line[0])
-                while at < len(lines) and lines[at][0] == key:
-                    out.append((url, *lines[at][1:]))
-                    at += 1
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["url", "archive", "page_id", "offset", "length"])
-
-    ranged = urls.select("url").distinct().mapInArrow(to_range, "url string, key string, range long")
-    blocked = ranged.join(directory, "range").mapInArrow(to_block, "url string, key string, range long, block long")
-    return blocked.join(blocks, ["range", "block"]).select("url", "key", "data").mapInArrow(to_captures, "url string, archive string, page_id long, offset long, length long")
+            for asked, data in zip(batch.column("asked").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                out, lines = [], _lines(data)
+                for q in asked:
+                    at = bisect.bisect_left(lines, q["key"], key=lambda line: line[0])
+                    while at < len(lines) and lines[at][0] == q["key"]:
+                        out.append((q["url"], *lines[at][1:]))
+                        at += 1
+                yield _columns(out, url=pa.string(), archive=pa.string(), page_id=pa.int64(), offset=pa.int64(), length=pa.int64())
+
+    def asked(rows: DataFrame, *by: str) -> DataFrame:
+        """The urls asked of each range or block together, in parts, so that it is opened a few times only."""
+        part = F.pmod(F.xxhash64("url"), F.lit(ASKED_PARTS))
+        return rows.groupBy(*by, part.alias("part")).agg(F.collect_list(F.struct("url", "key")).alias("asked")).drop("part")
+
+    ranged = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(to_range, "url string, key string, range long")
+    blocked = asked(ranged, "range").join(directory, "range").mapInArrow(to_block, "url string, key string, range long, block long")
+    met = asked(blocked, "range", "block").join(blocks, ["range", "block"]).select("asked", "data")
+    return met.mapInArrow(to_captures, "url string, archive string, page_id long, offset long, length long")
 
 
 def read_records(captures: DataFrame, archives: DataFrame) -> DataFrame:
-    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload`` of captures, by range reads.
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload`` of the captures, each place once.
 
-    An archive is read once for all captures that lie in it, which its size bounds.
+    Places go to the archives, whose bytes stay where they were written; each record's range is cut out before it is read.
     """
-    wanted = captures.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+    places = captures.select("archive", "offset", "length").repartition(_buckets(archives), "archive")
+    wanted = places.groupBy("archive").agg(F.array_sort(F.collect_set(F.struct("offset", "length"))).alias("places"))
 
     def number(name: str | None) -> int | None:
         found = _ID.match(name or "")
@@ -226,15 +246,15 @@ def read_records(captures: DataFrame, archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, places in zip(batch.column("data").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                rows = []
-                for place in places:
-                    r = parse(data[place["offset"] : place["offset"] + place["length"]])
-                    digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if r["payload"] is not None and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
-                        raise ValueError(f"payload of {r['WARC-Record-ID']} doesn't match its digest")
-                    rows.append((number(r["WARC-Record-ID"]), r["WARC-Target-URI"], r["length"], digest, r["WARC-Type"], number(r.get("WARC-Refers-To")), r["payload"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
-
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return wanted.join(archives.select("archive", "data"), "archive").select("data", "places").mapInArrow(run, schema)
+            rows = []
+            for data in batch.column("record").to_pylist():
+                r = parse(data)
+                digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
+                if r["payload"] is not None and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
+                    raise ValueError(f"payload of {r['WARC-Record-ID']} doesn't match its digest")
+                rows.append((number(r["WARC-Record-ID"]), r["WARC-Target-URI"], r["length"], digest, r["WARC-Type"], number(r.get("WARC-Refers-To")), r["payload"]))
+            yield _columns(rows, page_id=pa.int64(), url=pa.string(), payload_bytes=pa.int64(), payload_digest=pa.string(), record_type=pa.string(), refers_to=pa.int64(), payload=pa.binary())
+
+    each = wanted.join(archives.select("archive", "data"), "archive").select("data", F.explode("places").alias("at"))
+    cut = each.select(F.substring("data", (F.col("at.offset") + 1).cast("int"), F.col("at.length").cast("int")).alias("record"))
+    return cut.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -304,7 +304,7 @@ def test_warc_round_trip(spark):
     rows = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, record_type string")
     archives = warc.write_archives(rows)
     blocks, directory = warc.write_index(archives)
-    got = warc.read_records(warc.captures_of(blocks), archives).collect()
+    got = warc.read_records(warc.lookup(rows.select("url"), blocks, directory), archives).collect()
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     expected = [(1, 10, digest("<p>one</p>"), "revisit", 2), (2, 10, digest("<p>one</p>"), "response", None), (3, 0, digest(""), "revisit", 4), (4, 0, digest(""), "response", None)] + [(5, 100_000, digest("é" * 50_000), "response", None)] * 2
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(expected, key=lambda r: r[:4])
@@ -313,7 +313,7 @@ def test_warc_round_trip(spark):
     assert [bytes(r["payload"]) for r in warc.read_records(hits, archives).collect()] == [b"<p>one</p>"]
     assert warc.reversed_host_key("https://www.A.Example.com/p?q") == "com,example,a)/p?q"
     none = warc.write_archives(rows.limit(0))
-    assert warc.read_records(warc.captures_of(warc.write_index(none)[0]), none).count() == 0
+    assert warc.read_records(warc.lookup(rows.select("url"), *warc.write_index(none)), none).count() == 0
 
 
 def test_warc_lookup_over_many_blocks(spark, monkeypatch):
