@@ -10,6 +10,7 @@ from newsgraph.functions import text as X
 from newsgraph.lexicon import THAI
 from newsgraph.operators import cluster, match, rollup, rows, similarity, views
 from newsgraph.operators.classify import classify
+from newsgraph.operators import components
 from newsgraph.operators.components import connected_components
 from newsgraph.sources import feeds, outlets
 from newsgraph.streaming.ingest import ingest, stream_items, swept
@@ -170,6 +171,14 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    edges = [(7, i) for i in range(8, 300)] + [(300 + i, 301 + i) for i in range(30)] + [(500, 7), (1000, 1001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 7 for i in [*range(7, 300), 500]}, **{i: 300 for i in range(300, 331)}, 1000: 1000, 1001: 1000}
+
+
+
 def test_similarity_join_loses_no_pair(spark):
     draw = random.Random(4)
     words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 9))) for _ in range(60)]
