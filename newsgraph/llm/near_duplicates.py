@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgraph.tables import materialize
-from newsgraph.operators.components import connected_components
+from newsgraph.operators.components import HOT_KEYS, connected_components, join_counted
 
 WIDTH = 5
 ROWS = 6
@@ -44,7 +44,9 @@ MISSED = 2e-6
 HASHES = 168
 TOGETHER = 256
 # Central members of a bucket compared in the first round, and how many times more in each next one.
-CENTRES, GROWTH = 4, 1024
+CENTRES, GROWTH = 4, 16
+# Tasks over which the members of one bucket are spread when they meet its centres; rows above which a shingle is hot.
+SALTS, HOT_ROWS = 16, 10_000
 CACHED_WORDS = 400_000
 # A signature estimate this far below the threshold is out of reach: over five standard deviations.
 MARGIN = 0.15
@@ -207,14 +209,20 @@ def _to_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["cluster", "rep", "shingles"])
 
 
+def often_of(each: DataFrame) -> DataFrame:
+    """In how many members of its cluster each shingle stands."""
+    return each.groupBy("cluster", "shingle").agg(F.count("*").alias("often"))
+
+
 def _large_classes(large: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of the linked members of clusters too large for one task."""
     spark = large.sparkSession
     each = large.select("cluster", "rep", "shingles").mapInArrow(_to_longs, "cluster long, rep long, shingles array<long>")
     each = each.select("cluster", "rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("cluster", "shingle").agg(F.count("*").alias("often"))
     # A shingle of its own takes part only by pushing others back in the order of rarity.
-    rare = each.join(often, ["cluster", "shingle"]).groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("order"))
+    each = materialize(each, "near-each")
+    hot = max(HOT_ROWS, each.count() // HOT_KEYS)
+    rare = join_counted(each, often_of(each), ["cluster", "shingle"], hot, "often").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("order"))
     prefix = rare.select("rep", "n", F.posexplode(F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("place", "at"))
     entries = materialize(prefix.filter("at.often > 1").select(F.col("at.shingle").alias("key"), "rep", "n", F.col("place").cast("long").alias("place")), "near-entries")
     sets = large.select("rep", "shingles", "signature")
@@ -226,12 +234,16 @@ def _large_classes(large: DataFrame, percent: int) -> DataFrame:
         now = entries.join(component, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
         now = materialize(now, "near-round")
         open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-        here = now.join(open_keys, "key", "left_semi")
+        here = materialize(now.join(open_keys, "key", "left_semi"), "near-open")
+        if here.isEmpty():
+            return component
         chosen = _ranked(here, used, used + centres)
-        left, right = chosen.alias("c"), here.alias("m")
+        # The members of a bucket are spread; its few centres go to each part of them.
+        left = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("c")
+        right = here.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).alias("m")
         both = F.least(F.col("c.n") - F.col("c.place"), F.col("m.n") - F.col("m.place"))
         fits = 100 * both >= percent * (F.col("c.n") + F.col("m.n") - both)
-        pairs = left.join(right, (F.col("c.key") == F.col("m.key")) & (F.col("c.component") != F.col("m.component")) & fits)
+        pairs = left.join(right, (F.col("c.key") == F.col("m.key")) & (F.col("c.salt") == F.col("m.salt")) & (F.col("c.component") != F.col("m.component")) & fits)
         pairs = pairs.select(F.greatest("c.rep", "m.rep").alias("u"), F.least("c.rep", "m.rep").alias("v")).distinct()
         pairs = materialize(pairs, "near-pairs")
         found = pairs.join(_side(sets, "a", "u"), "u").join(_side(sets, "b", "v"), "v").mapInArrow(_confirm(percent), "u long, v long")
