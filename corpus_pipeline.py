@@ -3,11 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again before
 the next. The first four return the columns of ``documents``:
 
-* ``toxicity`` drops documents that the classifier marks; documents without text stay.
+* ``toxicity`` drops documents that the classifier marks; one without text, or with nothing in it that
+  the classifier knows, stays.
 * ``near_duplicates`` keeps one document of each class of near copies (the smallest doc_id).
 * ``pii`` replaces personal data in the text by its kind in brackets.
 * ``mixing`` returns one row per draw of the mix, so a document may stand up to three times or not at
-  all; the text of the one document at which a source's target is reached may be cut.
+  all; texts are whole, and documents without words, which count nothing, stand once.
 * ``bpe`` adds ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
 
 Texts may be null or empty in every stage and then pass unchanged. Columns beyond those of
