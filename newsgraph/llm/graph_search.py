@@ -1,12 +1,13 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node with its smallest ids, so thousands of copies neither fill neighbour
-lists nor hide other vectors. Distinct vectors are dealt into shards of ``SHARD_ROWS``; each shard
-gets a graph whose level of a node is drawn geometrically from a hash of its id. A node links, on
-each of its levels, to diverse near ones among the nodes placed before it (a candidate closer to a
-kept neighbour than to the node is passed over), and back; lists are stored as flat arrays of
-``2 * LINKS`` (bottom) or ``LINKS`` places. As a shard is bounded, a node's candidates are found by a
-blocked matrix product rather than by searching the unfinished graph.
+lists nor hide other vectors. Distinct vectors are dealt into shards of ``SHARD_ROWS``, and of more
+where they would be over ``SHARDS``, so that the shards a query visits stay few; each shard gets a
+graph whose level of a node is drawn geometrically from a hash of its id. Nodes are placed in steps
+of up to ``CHUNK``: on each of its levels a node searches the graph as it stands, adds its companions
+of the same step, links to diverse ones of those it found (a candidate closer to a kept neighbour
+than to the node is passed over), and they link back, each list thinned likewise when it is full.
+Lists are stored as flat arrays of ``2 * LINKS`` (bottom) or ``LINKS`` places.
 
 A search walks greedily down the levels and keeps a beam of ``BEAM`` on the bottom one, many queries
 in step; results of shards are merged. Inner product is searched as nearness of vectors lengthened
@@ -30,9 +31,10 @@ from newsgraph.tables import materialize
 from newsgraph.llm.vectors import dealt, matrix, pairs, query_chunks, valid
 
 SHARD_ROWS = 8192
+SHARDS, MOST_ROWS = 256, 131_072
 LINKS = 16
 CANDIDATES = 64
-BEAM = 96
+BEAM = 128
 WIDTH = 4
 CHUNK = 512
 
@@ -62,36 +64,54 @@ def _diverse(x: np.ndarray, near: np.ndarray, scores: np.ndarray, keep: int) ->
     return out
 
 
-def build_level(x: np.ndarray, links: int, room: int) -> np.ndarray:
-    """Neighbour array (n, room) of vectors of equal norm, in the order of their placement."""
-    n = len(x)
-    forward = np.full((n, links), -1, np.int32)
-    for a in range(0, n, CHUNK):
-        b = min(n, a + CHUNK)
-        scores = x[a:b] @ x[:b].T
-        scores[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = -np.inf
-        near = _top(scores, CANDIDATES)
-        got = np.take_along_axis(scores, near, 1)
-        forward[a:b] = _diverse(x, np.where(np.isfinite(got), near, -1), got, links)
-    source = np.repeat(np.arange(n, dtype=np.int64), links)
-    target = forward.ravel().astype(np.int64)
-    source, target = source[target >= 0], target[target >= 0]
-    source, target = np.concatenate([source, target]), np.concatenate([target, source])
-    scores = np.einsum("ed,ed->e", x[source], x[target])
-    order = np.lexsort((-scores, source))
-    source, target, scores = source[order], target[order], scores[order]
-    starts = np.searchsorted(source, np.arange(n))
-    place = np.arange(len(source)) - starts[source]
-    # The oldest links of much-linked nodes carry the long ways, so lists are thinned by diversity, not cut by nearness.
-    width = min(int(place.max()) + 1 if len(place) else 1, 4 * room)
-    inside = place < width
-    near, near_scores = np.full((n, width), -1, np.int64), np.full((n, width), -np.inf)
-    near[source[inside], place[inside]], near_scores[source[inside], place[inside]] = target[inside], scores[inside]
-    if width <= room:
-        out = np.full((n, room), -1, np.int32)
-        out[:, :width] = near
-        return out
-    return np.concatenate([_diverse(x, near[a : a + CHUNK], near_scores[a : a + CHUNK], room) for a in range(0, n, CHUNK)])
+def _link_back(x: np.ndarray, links: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+    """Adds to the lists of ``target`` the nodes ``source``; a list that would be too long keeps diverse ones."""
+    room = links.shape[1]
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    nodes, starts, counts = np.unique(target, return_index=True, return_counts=True)
+    held = (links[nodes] >= 0).sum(axis=1)
+    fits = held + counts <= room
+    # All that fit, at the first free places.
+    row = np.repeat(np.arange(len(nodes)), counts)
+    place = held[row] + np.arange(len(source)) - starts[row]
+    put = fits[row]
+    links[target[put], place[put]] = source[put]
+    # The others, few at a time: what the list holds and what is new, by nearness.
+    full = np.nonzero(~fits)[0]
+    for at in range(0, len(full), CHUNK):
+        some = full[at : at + CHUNK]
+        near = np.full((len(some), room + int(counts[some].max())), -1, np.int64)
+        near[:, :room] = links[nodes[some]]
+        inside = np.concatenate([np.arange(c) for c in counts[some]])
+        rows = np.repeat(np.arange(len(some)), counts[some])
+        near[rows, held[some][rows] + inside] = source[starts[some][rows] + inside]
+        scores = np.where(near >= 0, np.einsum("rd,rcd->rc", x[nodes[some]], x[np.maximum(near, 0)]), -np.inf)
+        best = np.argsort(-scores, axis=1, kind="stable")
+        near, scores = np.take_along_axis(near, best, 1), np.take_along_axis(scores, best, 1)
+        links[nodes[some]] = _diverse(x, near, scores, room)
+
+
+def _insert(x: np.ndarray, arrays: list[np.ndarray], sizes: list[int], a: int, b: int) -> None:
+    """Places nodes ``a`` to ``b`` into the graph of the nodes before them, level by level."""
+    for h, links in enumerate(arrays):
+        end = min(b, sizes[h])
+        if a >= end:
+            continue
+        fresh = np.arange(a, end)
+        scores = x[a:end] @ x[a:end].T
+        scores[np.arange(end - a)[None, :] >= np.arange(end - a)[:, None]] = -np.inf
+        near, got = np.broadcast_to(fresh, scores.shape), scores
+        if a:
+            # Of each level above, the nodes that are placed; a level is entered from the one above it.
+            found, found_scores = search_graph(x[a:end], x[:a], [above[: min(a, n)] for above, n in zip(arrays[h:], sizes[h:], strict=True)], CANDIDATES)
+            near, got = np.concatenate([found, near], 1), np.concatenate([found_scores, got], 1)
+        best = _top(got, CANDIDATES)
+        near, got = np.take_along_axis(near, best, 1), np.take_along_axis(got, best, 1)
+        chosen = _diverse(x, np.where(np.isfinite(got), near, -1), got, LINKS)
+        links[a:end, : chosen.shape[1]] = chosen
+        source, target = np.repeat(fresh, chosen.shape[1]), chosen.ravel().astype(np.int64)
+        _link_back(x, links, source[target >= 0], target[target >= 0])
 
 
 def levels_of(ids: np.ndarray) -> np.ndarray:
@@ -110,7 +130,13 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.nd
     x = vectors[order]
     norms = np.einsum("nd,nd->n", x, x)
     x = np.concatenate([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1)
-    arrays = [build_level(x[: int((level >= h).sum())], LINKS, 2 * LINKS if h == 0 else LINKS) for h in range(int(level.max()) + 1)]
+    sizes = [int((level >= h).sum()) for h in range(int(level.max()) + 1)]
+    arrays = [np.full((n, 2 * LINKS if h == 0 else LINKS), -1, np.int32) for h, n in enumerate(sizes)]
+    a = 0
+    while a < len(x):
+        b = min(len(x), a + min(CHUNK, max(16, a // 2)))
+        _insert(x, arrays, sizes, a, b)
+        a = b
     return order, level, arrays
 
 
@@ -204,8 +230,11 @@ def build(vectors: DataFrame, k: int = 20) -> DataFrame:
     first = salted.withColumn("r", rank).filter(F.col("r") <= k + 1)
     final = first.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     nodes = final.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("vec_id", F.col("members")[0])
-    nodes = dealt(materialize(nodes, "graph-nodes"), "shard", SHARD_ROWS).select("dim", "shard", "vec_id", "v", "members")
-    shards = nodes.groupBy("dim", "shard").applyInPandas(_pack, "dim int, shard int, vectors binary, sizes array<int>, links binary, members array<array<long>>")
+    nodes = materialize(nodes, "graph-nodes")
+    rows = min(MOST_ROWS, max(SHARD_ROWS, -(-(total := nodes.count()) // SHARDS)))
+    nodes = dealt(nodes, "shard", rows).select("dim", "shard", "vec_id", "v", "members")
+    # More parts than graphs, so that few tasks have two to build.
+    shards = nodes.repartition(min(4 * -(-total // rows) + 1, 20_000), "dim", "shard").groupBy("dim", "shard").applyInPandas(_pack, "dim int, shard int, vectors binary, sizes array<int>, links binary, members array<array<long>>")
     return materialize(shards, "graph-shards")
 
 

@@ -12,7 +12,8 @@ exactly. Shards take disjoint runs of each source's drawn blocks and are shuffle
 The driver holds one row per source (name, size) and the shard quotas; documents and blocks are
 only ever joined and summed in parts.
 
-Edge cases: a null text counts no words; the null source is a source of its own, last in order; a
+Edge cases: a null text counts no words, and a text without words has one draw of none, in a shard by
+its key, so that it isn't lost; the null source is a source of its own, last in order; a
 source without words gets the target 0; an empty table gives no rows; rows are never merged, so
 repeated rows count and are drawn each for themselves; reruns agree, as every choice is a hash of
 the row or seeded by its place in the tree. Columns named like the results are replaced.
@@ -146,21 +147,16 @@ def mix(measured: DataFrame, seed: int = SEED) -> DataFrame:
     joined = joined.withColumn("_ahead", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
     words = lambda d: F.when(d["upto"] < d["held"], F.least(F.col("size"), F.greatest(d["upto"] - F.col("_ahead"), F.lit(0)))).otherwise(F.col("size"))
     draw = lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"), words(d).alias("words"), F.xxhash64(F.lit(seed), F.col("mix_key"), d["pass"]).alias("place"))
-    draws = F.filter(F.transform(F.coalesce("_drawn", F.array().cast("array<struct<pass:int,shard:int,upto:bigint,held:bigint>>")), draw), lambda d: d["words"] > 0)
-    return joined.select(*measured.columns, "source_size", "target", draws.alias("draws"))
+    drawn_rows = F.filter(F.transform(F.coalesce("_drawn", F.array().cast("array<struct<pass:int,shard:int,upto:bigint,held:bigint>>")), draw), lambda d: d["words"] > 0)
+    wordless = F.array(F.struct(F.pmod("mix_key", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("words"), F.xxhash64(F.lit(seed), "mix_key", F.lit(0)).alias("place")))
+    return joined.select(*measured.columns, "source_size", "target", F.when(F.col("size") == 0, wordless).otherwise(drawn_rows).alias("draws"))
 
 
-def shards(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """One row per draw, dealt by shard and shuffled within it: the columns of ``mixed`` with ``shard`` and ``place``; a text drawn in part ends after its last word."""
+def shards(mixed: DataFrame) -> DataFrame:
+    """One row per draw, dealt by shard and shuffled within it: the columns of ``mixed`` with ``shard`` and ``place``.
+
+    Texts stay whole: that of the one document at which a source's target is reached passes it by its rest.
+    """
     each = mixed.withColumn("_draw", F.explode("draws")).drop("draws")
     each = each.withColumn("shard", F.col("_draw.shard")).withColumn("place", F.col("_draw.place"))
-    part = F.col("_draw.words") < F.col("size")
-    each = each.withColumn(text, F.when(part, first_words(F.col(text), F.col("_draw.words"))).otherwise(F.col(text)))
     return each.drop("_draw").repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
-
-
-def first_words(text: Column, words: Column) -> Column:
-    """The text up to the end of so many words, of which it must have more: what split leaves unsplit is cut off."""
-    led = F.when(text.rlike(rf"^[{SPACES}]"), 1).otherwise(0)
-    rest = F.element_at(F.split(text, f"[{SPACES}]+", (words + 1 + led).cast("int")), -1)
-    return F.rtrim(F.left(text, F.length(text) - F.length(rest)), F.lit(" \t\n\x0b\f\r"))

@@ -74,11 +74,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document, and the shards that take them: ``shards`` is shard:words, comma-joined in order of passes."""
     measured = mixing.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
     mixed = mixing.mix(materialize(measured, "mix-measured"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    to_shards = F.array_join(F.transform(F.filter("draws", lambda d: d["words"] > 0), lambda d: F.concat_ws(":", d["shard"].cast("string"), d["words"].cast("string"))), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), to_shards.alias("shards"))
 
 
 QUERIES = {

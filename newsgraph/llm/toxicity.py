@@ -6,7 +6,8 @@ its log-count ratio and fits a logistic regression on the scaled presence vector
 a sample of at most ``max_rows`` labelled rows, the same rows on every run; ``score`` reads every
 whole text of the table.
 
-Edge cases: null and empty texts have no n-grams and get the score of the bias alone; rows without
+Edge cases: a text with no n-gram of the model (a null or empty one, say) gives no evidence and gets the
+score of the bias alone, but ``NO_EVIDENCE`` at most; rows without
 a label (or a null one) are not learned from; with fewer than one labelled row of either class no
 n-gram counts and every score is the smoothed share of toxic rows; repeated rows and extra columns
 pass through.
@@ -31,6 +32,8 @@ LEAST_ROWS, LEAST_Z = 5, 4.0
 STEPS, DECAY = 150, 1e-2
 # Toxic rows are the rare class; an error on one counts this many times.
 TOXIC_WEIGHT = 2.0
+# Highest score of a text that holds nothing the model knows.
+NO_EVIDENCE = 0.49
 _M = np.uint32(0x9E3779B1)
 
 
@@ -112,12 +115,15 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         place = np.full(1 << BITS, -1, np.int32)
         place[model.buckets] = np.arange(len(model.buckets))
         squares, scaled = model.ratios**2, model.weights * model.ratios
+        no_evidence = np.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
         for batch in batches:
             margins = np.empty(batch.num_rows)
             for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
                 at = place[ngram_buckets(t)]
                 at = np.unique(at[at >= 0])
                 margins[i] = scaled[at].sum() / (np.sqrt(squares[at].sum()) + 1) + model.bias
+                if not len(at):
+                    margins[i] = min(margins[i], no_evidence)
             keep = [n for n in batch.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(1 / (1 + np.exp(-margins)))], names=[*keep, out])
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, toxicity, training_order, warc
+from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, queries, toxicity, training_order, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DATA = "/root/testdata/sf0.001"
@@ -209,6 +209,26 @@ def test_graph_search_recall(spark, odd_vectors):
     assert graph_search.nearest(vectors(spark, []), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [100, 8192])
+def test_nearest_query_recall(spark, monkeypatch, shard_rows):
+    """The registered query against brute force over all rows, with one shard and with several."""
+    monkeypatch.setattr(graph_search, "SHARD_ROWS", shard_rows)
+    sf_dir = "/root/testdata/sf0.01"
+    rows = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    got = defaultdict(list)
+    for r in queries.op4_nearest(spark, sf_dir).orderBy("query_id", "rank").collect():
+        assert math.isclose(r["score"], float(rows[r["query_id"]] @ rows[r["vec_id"]]), rel_tol=1e-9) and r["vec_id"] != r["query_id"]
+        got[r["query_id"]].append(r["vec_id"])
+    hits = 0
+    for q in (wanted := ids[ids % 20 == 0]).tolist():
+        scores = x @ rows[q]
+        best = [i for i in ids[np.lexsort((ids, -scores))].tolist() if i != q][:20]
+        hits += len(set(best) & set(got[q]))
+    assert hits >= 0.9 * 20 * len(wanted) and set(got) == set(wanted.tolist())
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -219,10 +239,30 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc >= 0.95 and np.mean(np.array(clean) < 0.5) >= 0.98 and np.mean(np.array(toxic) >= 0.5) >= 0.8
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    """Presence vectors, ratios and scores by dictionaries."""
+    rows = [("you vile rotten pest", 1), ("what a lovely garden day", 0), ("vile pest again", 1), ("a lovely walk", 0)] * 6
+    model = toxicity.fit(rows)
+    held = dict(zip(model.buckets.tolist(), zip(model.ratios.tolist(), model.weights.tolist(), strict=True), strict=True))
+    grams = lambda t: set(toxicity.ngram_buckets(t).tolist())
+    ones, zeros = [grams(t) for t, y in rows if y], [grams(t) for t, y in rows if not y]
+    for b, (ratio, _) in held.items():
+        p, q = sum(b in g for g in ones), sum(b in g for g in zeros)
+        assert math.isclose(ratio, math.log((p + 1) / 14) - math.log((q + 1) / 14))
+    texts = ["vile garden", "lovely pest, vile", "nothing known 123", "", None]
+    for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect():
+        found = [held[b] for b in grams(r["text"]) & set(held)]
+        margin = sum(a * w for a, w in found) / (math.sqrt(sum(a * a for a, _ in found)) + 1) + model.bias
+        expected = 1 / (1 + math.exp(-margin))
+        assert math.isclose(r["score"], expected if found else min(expected, toxicity.NO_EVIDENCE))
+
+
 def test_toxicity_odd_rows(odd, empty):
     for rows in ([], [("a", 1)], [("good day", 0), ("bad day", 1)] * 10):
         model = toxicity.fit(rows)
         assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, model).collect())
+    balanced = toxicity.fit([("good day", 0), ("bad day", 1)] * 10)
+    assert all(r["score"] < 0.5 for r in toxicity.score(odd.filter("coalesce(trim(text), '') = ''"), balanced).collect())
     assert toxicity.score(empty, toxicity.fit([])).count() == 0
 
 
@@ -280,7 +320,7 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert {r["doc_id"]: r["draws"] for r in again} == {r["doc_id"]: r["draws"] for r in mixed}
     assert mixing.mix(mixing.measure(odd)).count() == 8 and mixing.mix(mixing.measure(empty)).count() == 0
     out = mixing.shards(mixing.mix(mixing.measure(odd)))
-    assert out.filter("doc_id IS NULL OR doc_id > 2").count() > 0
+    assert out.filter("doc_id IS NULL OR doc_id > 2").count() > 0 and out.filter("size = 0").count() == 3
 
 
 def test_mixing_targets_and_tree():
@@ -291,12 +331,29 @@ def test_mixing_targets_and_tree():
     assert split.sum(axis=0).tolist() == [7, 0, 30, 5] and split.sum(axis=1).tolist() == [7] * 6
 
 
-def test_first_words_equal_a_plain_cut(spark):
-    texts = ["a b  c\td\n", "  lead and more", "\x0bé 😀 x\u00a0y z ", "one\r\ntwo three", "w " * 20_000]
-    cases = [(t, n) for t in texts for n in (1, 2, len(t.split(" ")) // 2) if 0 < n < len(re.findall(mixing.WORD, t))]
-    rows = spark.createDataFrame(cases, "t string, n long").select("t", "n", mixing.first_words(F.col("t"), F.col("n")).alias("cut")).collect()
-    for r in rows:
-        assert r["cut"] == r["t"][: list(re.finditer(mixing.WORD, r["t"]))[r["n"] - 1].end()]
+def test_mixing_shards_follow_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
+    monkeypatch.setattr(mixing, "BLOCKS_PER_SHARD", 8)
+    mixed = mixing.mix(mixing.measure(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source"))).collect()
+    sizes = defaultdict(int)
+    for r in mixed:
+        sizes[r["source"]] += r["size"]
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    shard_of, drawn = {}, defaultdict(set)
+    for r in mixed:
+        block = r["mix_key"] % max(1, -(-sizes[r["source"]] // 64))
+        for d in r["draws"]:
+            if d["words"]:
+                # A block goes to one shard in each pass.
+                assert shard_of.setdefault((r["source"], block, d["pass"]), d["shard"]) == d["shard"]
+                drawn[r["source"], d["shard"]].add((block, d["pass"]))
+    quotas = [sum(len(v) for (n, _), v in drawn.items() if n == name) for name in names]
+    shards = max(1, sum(quotas) // 8)
+    tree = mixing.split_quotas(quotas, shards)
+    assert shards > 3 and all(len(drawn[name, k]) == tree[k, i] for i, name in enumerate(names) for k in range(shards))
+    whole = [(r["doc_id"], r["text"]) for r in mixing.shards(spark.createDataFrame(mixed)).collect()]
+    texts = {r["doc_id"]: r["text"] for r in mixed}
+    assert all(texts[i] == t for i, t in whole) and len(whole) == sum(len(r["draws"]) for r in mixed)
 
 
 def test_warc_round_trip(spark):
