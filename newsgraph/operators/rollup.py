@@ -31,11 +31,11 @@ def eligible(articles: DataFrame) -> DataFrame:
 def best_value(articles: DataFrame, value: str, confidence: str) -> DataFrame:
     """``story_id, <value>, <value>_confidence, <value>_outlets``: the value that the evidence favours.
 
-    Primary outlets speak if a story has any, aggregators only otherwise. Among a story's values
+    Primary outlets speak if a story has any, aggregators only otherwise; an outlet of unknown kind is primary. Among a story's values
     the highest confidence wins (null last), then the most distinct outlets, the latest report,
     the larger value. Two aggregations, the first on (story, value), so that a hot story is summed in parts.
     """
-    known = articles.filter(F.col(value).isNotNull())
+    known = articles.filter(F.col(value).isNotNull()).withColumn("aggregator", F.coalesce("aggregator", F.lit(False)))
     each = known.groupBy("story_id", value, "aggregator").agg(F.max(confidence).alias("c"), F.collect_set("source_key").alias("keys"), F.max("published").alias("latest"))
     primary = each.groupBy("story_id").agg(F.bool_or(~F.col("aggregator")).alias("has_primary"))
     kept = each.join(primary, "story_id").filter(~F.col("has_primary") | ~F.col("aggregator"))

@@ -1,4 +1,8 @@
-"""Row-level steps of ingestion: first wins, new rows only, owners of rejected rows, samples and pages."""
+"""Row-level steps of ingestion: first wins, new rows only, owners of rejected rows, samples and pages.
+
+Edge cases: empty tables give no rows; repeated rows are rows of their own; ties are settled by the
+keys named, so results don't depend on partitions.
+"""
 
 from __future__ import annotations
 
@@ -51,7 +55,35 @@ def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
 
 
 def with_featured(df: DataFrame, *order: Column) -> DataFrame:
-    """Marks the first row of the order."""
-    first = df.orderBy(*order).limit(1).withColumn("_first", F.lit(True))
-    keys = df.columns
-    return df.join(first, keys, "left").withColumn("featured", F.coalesce("_first", F.lit(False))).drop("_first")
+    """Marks the first row of the order; of several rows equal in all columns one is marked, nulls are as good as values.
+
+    The first row is found as a place (part and number in it) of the written table, so no value has to be compared.
+    """
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    placed = materialize(placed, "featured")
+    first = placed.orderBy(*order, "_part", "_row").limit(1).select("_part", "_row", F.lit(True).alias("_first"))
+    marked = placed.join(F.broadcast(first), ["_part", "_row"], "left")
+    return marked.withColumn("featured", F.coalesce("_first", F.lit(False))).drop("_first", "_part", "_row")
+
+
+def random_sample(df: DataFrame, size: int, seed: int, *key: Column) -> DataFrame:
+    """``size`` rows in the order of a seeded hash of their key, so that reruns agree; fewer if there are fewer."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(size)
+
+
+def newest(df: DataFrame, size: int, time: str, key: str) -> DataFrame:
+    """The ``size`` newest rows, null times last, ties by key."""
+    return df.orderBy(F.desc_nulls_last(time), key).limit(size)
+
+
+def reassigned(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """``id, story_id`` of children (id, story_id, parent_id, title_key), moved to their parent unless it holds their title already.
+
+    Of several children of one parent with one title the one with the least id moves. A null title key never collides.
+    """
+    held = parents.select(F.col("story_id").alias("parent_id"), "title_key").distinct()
+    place = F.row_number().over(Window.partitionBy("parent_id", "title_key").orderBy("id"))
+    moving = children.filter(F.col("parent_id").isNotNull()).join(held, ["parent_id", "title_key"], "left_anti")
+    moving = moving.withColumn("_place", F.when(F.col("title_key").isNull(), 1).otherwise(place)).filter("_place = 1")
+    moved = moving.select("id", F.col("parent_id").alias("_to"))
+    return children.join(moved, "id", "left").select("id", F.coalesce("_to", "story_id").alias("story_id"))
