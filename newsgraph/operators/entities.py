@@ -110,7 +110,7 @@ SAMPLE = Entities(
     areas={"th": "north", "rn": "south", "und": "north"}, hints=("th",), provinces=("er", "en", "ou", "qu"), common_names={"qu": "er"},
     marques={"m1": ("abc", "ver"), "m2": ("que",)}, vehicles={"2W": ("andi", "bik"), "3W": ("ing",), "4W": ("ent", "ver"), "Bike": ("and",)}, blanked_vehicle=("andi", "2W"),
     symbols={"2W": "②", "3W": "③", "4W": "④", "Bike": "⑪"}, outcomes={"dead": "⑧", "ment": "⑨"}, filler=("of", "is"),
-    honorifics=("Mrs", "Mr", "the "), no_names=("st", "co"), quotes=(("(", ")"), ('"', '"')), quote_noise=("ion",), name_letters="a-z",
+    honorifics=("Mrs", "Mr", "Dr"), no_names=("st", "co"), quotes=(("(", ")"), ('"', '"')), quote_noise=("ion",), name_letters="a-z",
     nationalities={"n1": ("ish", "ese"), "n2": ("lic",)}, no_nationalities=("publish",), roles={"r1": ("chief", "head"), "r2": ("son",)}, generic_roles={"g1": ("man",), "g2": ("wo", "wi")},
 )
 
@@ -178,7 +178,7 @@ def quoted(title: Column, words: Entities = THAI) -> Column:
     for a, b in words.quotes:
         a, b = re.escape(a), re.escape(b)
         found.append(F.regexp_extract_all(title, F.lit(f"{a}([^{a}{b}]{{2,25}}){b}"), F.lit(1)))
-    return F.transform(F.concat(*found), F.trim)
+    return F.transform(F.concat(*found), lambda s: F.trim(s))
 
 
 def names(title: Column, words: Entities = THAI) -> Column:

@@ -68,7 +68,7 @@ def with_featured(df: DataFrame, *order: Column) -> DataFrame:
 
 def random_sample(df: DataFrame, size: int, seed: int, *key: Column) -> DataFrame:
     """``size`` rows in the order of a seeded hash of their key, so that reruns agree; fewer if there are fewer."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(size)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in key))), *key).limit(size)
 
 
 def newest(df: DataFrame, size: int, time: str, key: str) -> DataFrame:

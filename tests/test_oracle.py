@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from newsgraph.plans import story_queries  # noqa: F401  (registers its queries)
 from newsgraph.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
