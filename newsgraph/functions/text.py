@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsgraph.functions.json_ld import article_bodies
+
 # What matching ignores. White space of ECMAScript, the zero-width and no-break spaces,
 # dashes, the middle dot, quotes and brackets.
 IGNORED = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{200B}\x{FEFF}\-\x{2013}\x{2014}_/\x{00B7}|\x{0022}\x{0027}\x{201C}\x{201D}\x{2018}\x{2019}!?,()\[\]{}]+"
 # Two SARA E typed for SARA AE.
 DOUBLE_E, AE = "เเ", "แ"
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
+AMPERSAND = "\ue026"
 INVISIBLE = r"[\x{00A0}\x{200B}\x{200C}\x{FEFF}]"
 # Named character references that are decoded; all others stay as they are.
 ENTITIES = {
@@ -70,16 +73,27 @@ def unwrapped_link(url: Column, host_suffix: str = "bing.com", parameter: str =
     return F.when(F.try_parse_url(url, F.lit("HOST")).endswith(host_suffix), F.coalesce(target, url)).otherwise(url)
 
 
-def named_entities(text: Column) -> Column:
-    """Named references decoded, the ampersand's last so nothing is decoded twice."""
-    ordered = [e for e in ENTITIES if e != "&amp;"] + ["&amp;"]
-    return reduce(lambda c, e: F.replace(c, F.lit(e), F.lit(ENTITIES[e])), ordered, text)
+def decode_entities(text: Column) -> Column:
+    """Named references of the list, in any case, and decimal ones; each once, so nothing is decoded twice. Others stay.
+
+    References to the ampersand wait as a private character until all others are decoded.
+    """
+    low = [e for e in ENTITIES if not e.startswith("&#") and e != "&amp;"]
+    named = reduce(lambda c, e: F.regexp_replace(c, f"(?i){e}", F.lit(ENTITIES[e])), low, F.regexp_replace(text, "(?i)&amp;", AMPERSAND))
+    codes = F.array_distinct(F.regexp_extract_all(named, F.lit("&#([0-9]{1,7});"), F.lit(1)))
+
+    def one(decoded: Column, code: Column) -> Column:
+        point, whole = code.cast("long"), F.concat(F.lit("&#"), code, F.lit(";"))
+        letter = F.when(point == 38, F.lit(AMPERSAND)).when(point <= 0x10FFFF, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(whole)
+        return F.replace(decoded, whole, letter)
+
+    return F.replace(F.aggregate(codes, named, one), F.lit(AMPERSAND), F.lit("&"))
 
 
 def strip_html(html: Column, most: int) -> Column:
     """Visible text: scripts and styles dropped, tags as spaces, white space collapsed, cut to length."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")
-    out = named_entities(F.regexp_replace(out, r"<[^>]+>", " "))
+    out = decode_entities(F.regexp_replace(out, r"<[^>]+>", " "))
     return F.substring(F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x{000B}\x{00A0}]+", " ")), 1, most)
 
 
@@ -100,13 +114,12 @@ def paragraphs(html: Column, least: int = 40) -> Column:
 
 def article_body(html: Column, most: int = 2500) -> Column:
     """struct(text, via): JSON-LD body, else paragraphs after the description, else the description, else null."""
-    ld = F.regexp_extract(html, r"(?is)\x22articleBody\x22\s*:\s*\x22((?:[^\x22\\]|\\.)*)\x22", 1)
-    ld = strip_html(F.replace(F.replace(ld, F.lit("\\n"), F.lit(" ")), F.lit('\\"'), F.lit('"')), most)
+    ld = F.get(F.filter(F.transform(article_bodies(html), lambda b: strip_html(b, most)), lambda t: F.length(t) > 160), F.lit(0))
     og = strip_html(meta_content(html, "og:description"), most)
     joined = F.array_join(paragraphs(html), " ")
     lead = F.substring(F.concat_ws(" ", og, joined), 1, most)
     pick = lambda text, via: F.struct(text.alias("text"), F.lit(via).alias("via"))
-    return F.when(F.length(ld) > 160, pick(ld, "jsonld")).when(F.length(joined) > 160, pick(lead, "paragraphs")).when(F.length(og) > 60, pick(og, "og"))
+    return F.when(ld.isNotNull(), pick(ld, "jsonld")).when(F.length(joined) > 160, pick(lead, "paragraphs")).when(F.length(og) > 60, pick(og, "og"))
 
 
 def bigrams(text: Column) -> Column:

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsgraph.operators import enrich, match, rows
+from newsgraph.functions import text as X
+from newsgraph.operators import attach, enrich, match, rows, similarity
 from newsgraph.operators import entities as E
 from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
@@ -311,3 +312,26 @@ def j9_reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of ten customers fold into one."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("story_id"), F.floor(F.col("o_custkey") / 10).alias("parent_id"), F.col("o_orderpriority").alias("title_key"))
     return rows.reassigned(o, o.select("story_id", "title_key"))
+
+
+_URL_GRAMS = "list_distinct([substr('  ' || lower(regexp_replace(url, '[^a-zA-Z0-9]', '', 'g')) || ' ', i, 3) FOR i IN range(1, length(regexp_replace(url, '[^a-zA-Z0-9]', '', 'g')) + 2)])"
+
+
+@query(f"""WITH t AS (SELECT page_id AS id, page_id * 3600 AS at, CASE WHEN page_id % 9 > 0 THEN page_id % 9 END AS region, {_URL_GRAMS} AS g FROM pages),
+p AS (SELECT a.id AS left_id, b.id AS right_id, a.region = b.region AS near, (len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))))::FLOAT AS s FROM t a JOIN t b ON a.id <> b.id AND b.at >= a.at - 14 * 86400)
+SELECT left_id, right_id, round(s::DOUBLE, 5) AS similarity, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id) AS r FROM p WHERE s >= 0.35::FLOAT OR near) WHERE r <= 60""")
+def j6_story_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as titles, an hour a page, nine regions of which one is unknown."""
+    region = F.when(F.col("page_id") % 9 > 0, (F.col("page_id") % 9).cast("string"))
+    grams = X.trigrams(F.regexp_replace("url", "[^a-zA-Z0-9]", ""))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.timestamp_seconds(F.col("page_id") * 3600).alias("published"), F.array_compact(F.array(region)).alias("regions"), grams.alias("grams"))
+    found = similarity.story_candidates(materialize(pages, "candidate-pages"), pages, 0.35, 60, match.FOLLOW_UP_DAYS)
+    return found.select("left_id", "right_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def g9_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as reports in order of their keys, each with the three before it of its brand as matches; held against a plain loop in the tests."""
+    reports, candidates = _part_pairs(spark, sf_dir)
+    same = match.matching(candidates, reports, reports).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), F.lit(False).alias("stored"), "rank")
+    return attach.attached(reports.select("id", F.col("id").alias("place")), materialize(same, "matches"))
