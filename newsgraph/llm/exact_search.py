@@ -10,6 +10,7 @@ hold a smaller id, so it is scored).
 Edge cases: rows with null ids or vectors or non-finite components take no part; a zero or empty
 vector does, with score 0; rows that share a vec_id are one another's own and never match; ties go
 to the smaller vec_id; with fewer candidates than k all are returned; an empty table gives no rows.
+Scores are 64-bit integers: vectors whose products go beyond them have no defined order.
 """
 
 from __future__ import annotations
