@@ -13,7 +13,7 @@ from newsgraph.operators import classify as C
 from newsgraph.operators import cluster, match, rollup, rows, similarity, views
 from newsgraph.operators.casualties import read_casualties
 from newsgraph.sources import feeds, outlets
-from newsgraph.tables import materialize, shared_dir, table, table_path
+from newsgraph.tables import materialize, shared_dir, spread, table, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,40 +39,16 @@ def _match(text: str) -> str:
     return f"lower(regexp_replace(replace({text}, 'เเ', 'แ'), '{pattern}', '', 'g'))"
 
 
-_TITLE, _SUMMARY = "substr(text, 1, 80)", "substr(text, 81, 300)"
-
-
-def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 300).alias("summary")).withColumn("title_key", X.squeeze_for_match(F.col("title")))
-
-
-@query(f"SELECT doc_id, {_match(_TITLE)} AS title_key FROM documents")
-def c1_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir).select("doc_id", "title_key")
-
-
-@query(f"""
-WITH t AS (SELECT doc_id, source, {_match(_TITLE)} AS title_key FROM documents)
-SELECT doc_id, source, title_key FROM (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY doc_id) AS r FROM t) WHERE r = 1""")
-def c9_first_title_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.first_wins(_titled(spark, sf_dir).select("doc_id", "source", "title_key"), ["title_key"], F.col("doc_id"))
-
-
-@query(f"""
-WITH t AS (SELECT doc_id, {_match(_TITLE)} AS title_key FROM documents)
-SELECT doc_id, title_key FROM t WHERE doc_id % 2 = 1 AND title_key IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM t s WHERE s.doc_id % 2 = 0 AND s.title_key = t.title_key)""")
-def w1_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _titled(spark, sf_dir).select("doc_id", "title_key")
-    return rows.new_rows(t.filter("doc_id % 2 = 1"), t.filter("doc_id % 2 = 0"), "title_key").select("doc_id", "title_key")
-
-
 def _hit_sql(text: str, terms: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN contains({text}, '{t}') THEN '{t}'" for t in terms) + " END"
 
 
-def _classify_sql(title: str = _TITLE, summary: str = _SUMMARY) -> str:
+# The first line of a text is the title, all that follows the summary.
+_LINE = "split_part(text, chr(10), 1)"
+_REST = f"substr(text, length({_LINE}) + 2)"
+
+
+def _classify_sql(title: str = _LINE, summary: str = _REST) -> str:
     guard = lambda s: s if not SAMPLE.place_guard else "replace(" * len(SAMPLE.place_guard) + s + "".join(f", '{p}', '')" for p in SAMPLE.place_guard)
     names = ("decisive", "test_strong", "test_weak", "checkpoint_strong", "checkpoint_weak", "driving", "enforcement", "crash", "alcohol", "campaign", "negative", "evergreen")
     hits = ", ".join(f"{_hit_sql('body', getattr(SAMPLE, n))} AS {n}" for n in names)
@@ -99,28 +75,6 @@ SELECT doc_id,
 FROM l"""
 
 
-@query(_classify_sql())
-def c8_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify(_titled(spark, sf_dir), SAMPLE).select("doc_id", "passed", "confidence", "reason")
-
-
-@query(f"""
-WITH t AS ({_classify_sql()}) SELECT count(*) AS fetched, count(*) FILTER (passed) AS passed,
-  count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium FROM t""")
-def a13_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c8_classify(spark, sf_dir).agg(F.count("*").alias("fetched"), views.count_if(F.col("passed"), "passed"), views.count_if(F.col("confidence") == "high", "high"), views.count_if(F.col("confidence") == "medium", "medium"))
-
-
-@query(f"SELECT doc_id, regexp_replace({_TITLE}, '[^\\x{{0E01}}-\\x{{0E59}}a-zA-Z0-9]', '', 'g') AS search_key FROM documents")
-def x8_search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir).select("doc_id", X.search_key(F.col("title")).alias("search_key"))
-
-
-# The same over whole texts: the first line is the title, all that follows the summary.
-_LINE = "split_part(text, chr(10), 1)"
-_REST = f"substr(text, length({_LINE}) + 2)"
-
-
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     line = F.substring_index("text", "\n", 1)
@@ -128,14 +82,14 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT doc_id, {_match('text')} AS text_key FROM documents")
-def c1_whole_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c1_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(spark, sf_dir).select("doc_id", "text_key")
 
 
 @query(f"""
 WITH t AS (SELECT doc_id, source, sha256({_match('text')}) AS text_key FROM documents)
 SELECT doc_id, source, text_key FROM (SELECT *, row_number() OVER (PARTITION BY text_key ORDER BY doc_id) AS r FROM t) WHERE r = 1""")
-def c9_first_whole_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c9_first_title_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.first_wins(_whole(spark, sf_dir).select("doc_id", "source", F.sha2("text_key", 256).alias("text_key")), ["text_key"], F.col("doc_id"))
 
 
@@ -143,25 +97,25 @@ def c9_first_whole_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT doc_id, sha256({_match('text')}) AS text_key FROM documents)
 SELECT doc_id, text_key FROM t WHERE doc_id % 2 = 1 AND text_key IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM t s WHERE s.doc_id % 2 = 0 AND s.text_key = t.text_key)""")
-def w1_new_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w1_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _whole(spark, sf_dir).select("doc_id", F.sha2("text_key", 256).alias("text_key"))
     return rows.new_rows(t.filter("doc_id % 2 = 1"), t.filter("doc_id % 2 = 0"), "text_key").select("doc_id", "text_key")
 
 
-@query(_classify_sql(_LINE, _REST))
-def c8_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_classify_sql())
+def c8_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify(_whole(spark, sf_dir), SAMPLE).select("doc_id", "passed", "confidence", "reason")
 
 
 @query(f"""
-WITH t AS ({_classify_sql(_LINE, _REST)}) SELECT count(*) AS fetched, count(*) FILTER (passed) AS passed,
+WITH t AS ({_classify_sql()}) SELECT count(*) AS fetched, count(*) FILTER (passed) AS passed,
   count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium FROM t""")
-def a13_whole_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c8_classify_whole(spark, sf_dir).agg(F.count("*").alias("fetched"), views.count_if(F.col("passed"), "passed"), views.count_if(F.col("confidence") == "high", "high"), views.count_if(F.col("confidence") == "medium", "medium"))
+def a13_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c8_classify(spark, sf_dir).agg(F.count("*").alias("fetched"), views.count_if(F.col("passed"), "passed"), views.count_if(F.col("confidence") == "high", "high"), views.count_if(F.col("confidence") == "medium", "medium"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '[^\\x{0E01}-\\x{0E59}a-zA-Z0-9]', '', 'g') AS search_key FROM documents")
-def x8_whole_search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x8_search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(spark, sf_dir).select("doc_id", X.search_key(F.col("text")).alias("search_key"))
 
 
@@ -226,13 +180,14 @@ def _grams(text: str) -> str:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, source, lower(substr(text, 1, 60)) AS a, lead(lower(substr(text, 1, 60))) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
-g AS (SELECT doc_id, a, b, {_grams('a')} AS ga, {_grams('b')} AS gb FROM t WHERE b IS NOT NULL)
-SELECT doc_id, round(CASE WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2.0 * coalesce(list_sum([least(len(list_filter(ga, lambda x: x = u)), len(list_filter(gb, lambda x: x = u))) FOR u IN list_distinct(ga)]), 0) / (length(a) + length(b) - 2) END, 6) AS dice FROM g""")
+WITH t AS (SELECT p.page_id, lower(p.url) AS a, lower(n.url) AS b FROM pages p JOIN pages n ON n.page_id = p.page_id + 1),
+g AS (SELECT page_id, a, b, {_grams('a')} AS ga, {_grams('b')} AS gb FROM t WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT page_id, round(CASE WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2.0 * coalesce(list_sum([least(len(list_filter(ga, lambda x: x = u)), len(list_filter(gb, lambda x: x = u))) FOR u IN list_distinct(ga)]), 0) / (length(a) + length(b) - 2) END, 6) AS dice FROM g""")
 def x27_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("a"))
-    near = heads.withColumn("b", F.lead("a").over(Window.partitionBy("source").orderBy("doc_id"))).filter("b IS NOT NULL")
-    return near.select("doc_id", F.round(X.dice(F.col("a"), F.col("b")), 6).alias("dice"))
+    """Each page's whole address with that of the page with the next id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("a"))
+    near = pages.join(pages.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b")), "page_id").filter("a IS NOT NULL AND b IS NOT NULL")
+    return near.select("page_id", F.round(X.dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
 def _triples(text: str) -> str:
@@ -242,12 +197,13 @@ def _triples(text: str) -> str:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id AS id, source, {_triples("regexp_replace(substr(text, 1, 60), '[^a-zA-Z0-9]', '', 'g')")} AS g FROM documents),
-p AS (SELECT a.id AS left_id, b.id AS right_id, (len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))))::FLOAT AS s FROM t a JOIN t b ON a.source = b.source AND a.id <> b.id)
+WITH t AS (SELECT p_partkey AS id, p_brand, {_triples("regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')")} AS g FROM part),
+p AS (SELECT a.id AS left_id, b.id AS right_id, (len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))))::FLOAT AS s FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.id <> b.id)
 SELECT left_id, right_id, round(s::DOUBLE, 5) AS similarity, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id) AS r FROM p WHERE s >= 0.35::FLOAT) WHERE r <= 60""")
 def j6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z0-9]", "")
-    sets = materialize(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("block"), X.trigrams(key).alias("grams")), "candidates")
+    """Whole part names as headlines, brands as blocks."""
+    key = F.regexp_replace("p_name", "[^a-zA-Z0-9]", "")
+    sets = materialize(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), X.trigrams(key).alias("grams")), "candidates")
     return similarity.candidates(sets, sets, 0.35, 60).select("left_id", "right_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), _n(F.col("rank")).alias("rank"))
 
 
@@ -485,20 +441,12 @@ def s16_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", "event_type", "ts").orderBy(F.desc_nulls_last("ts"), F.desc("event_id")).limit(1)
 
 
-@query("""WITH s AS (SELECT doc_id AS id, doc_id % 50 AS story_id, source AS url, lang AS title_key FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0), r AS (SELECT doc_id, source AS url, lang AS title_key FROM documents WHERE doc_id % 3 = 1)
-SELECT r.doc_id, coalesce((SELECT arg_min(story_id, id) FROM s WHERE s.url = r.url), (SELECT arg_min(story_id, id) FROM s WHERE s.title_key = r.title_key))::BIGINT AS owner FROM r""")
-def w3_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), F.col("lang").alias("title_key"))
-    stored = d.filter("doc_id % 3 = 0 AND doc_id % 2 = 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("story_id"), "url", "title_key")
-    return rows.owners(d.filter("doc_id % 3 = 1"), stored).select("doc_id", "owner")
-
-
 @query(f"""
 WITH t AS (SELECT doc_id, sha256(text) AS url, sha256({_match('text')}) AS title_key FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY doc_id) AS r FROM t),
 s AS (SELECT doc_id AS id, url, title_key FROM n WHERE r = 1)
 SELECT n.doc_id, coalesce((SELECT arg_min(id, id) FROM s WHERE s.url = n.url), (SELECT arg_min(id, id) FROM s WHERE s.title_key = n.title_key))::BIGINT AS owner FROM n WHERE r > 1""")
-def w3_all_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w3_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document takes part: the first of each text key is stored, all others are rejected. The text as it is stands for the url."""
     keys = _whole(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("url"), F.sha2("text_key", 256).alias("title_key"))
     d = materialize(keys, "owner-keys")
@@ -575,5 +523,5 @@ def k15_casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of the events written as headlines and read back."""
     count = lambda c: c.cast("long").cast("string")
     headline = F.concat(F.lit("เมาขับชนดับ "), count(F.floor(F.abs("value"))), F.lit(" ราย เจ็บ "), count(F.col("event_id") % 50), F.lit(" คน"))
-    read = table(spark, sf_dir, "events").select("event_id", read_casualties(headline).alias("r"))
+    read = spread(table(spark, sf_dir, "events").select("event_id", headline.alias("title"))).select("event_id", read_casualties(F.col("title")).alias("r"))
     return read.select("event_id", F.col("r.deaths.value").alias("deaths"), F.col("r.injuries.value").alias("injuries"), F.col("r.deaths.rule").alias("rule"))

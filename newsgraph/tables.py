@@ -45,6 +45,12 @@ def materialize_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> Da
     return spark.table(table_name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that lie in fewer partitions than the cluster has cores are dealt over all; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete an intermediate table once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -24,19 +24,19 @@ def _documents(spark, tmp_path, texts):
 def test_late_terms_and_endings_count(spark, tmp_path):
     term = SAMPLE.decisive[0]
     sf = _documents(spark, tmp_path, [f"{FILL}\n{FILL}", f"{FILL}\n{FILL}{term}", f"{FILL}\n{FILL}", f"{FILL}\n{FILL}other end"])
-    got = {r["doc_id"]: r["reason"] for r in QUERIES["c8_classify_whole"](spark, sf).collect()}
+    got = {r["doc_id"]: r["reason"] for r in QUERIES["c8_classify"](spark, sf).collect()}
     assert {i for i, reason in got.items() if reason.startswith("dui-body")} == {1}
-    assert QUERIES["a13_whole_tallies"](spark, sf).first()["passed"] == 1
-    assert sorted(r["doc_id"] for r in QUERIES["c9_first_whole_wins"](spark, sf).collect()) == [0, 1, 3]
-    assert sorted(r["doc_id"] for r in QUERIES["w1_new_whole_rows"](spark, sf).collect()) == [1, 3]
-    assert {r["doc_id"] for r in QUERIES["c1_whole_key"](spark, sf).filter(F.col("text_key").endswith("otherend")).collect()} == {3}
-    assert {r["doc_id"] for r in QUERIES["x8_whole_search_key"](spark, sf).filter(F.col("search_key").endswith("otherend")).collect()} == {3}
+    assert QUERIES["a13_tallies"](spark, sf).first()["passed"] == 1
+    assert sorted(r["doc_id"] for r in QUERIES["c9_first_title_wins"](spark, sf).collect()) == [0, 1, 3]
+    assert sorted(r["doc_id"] for r in QUERIES["w1_new_rows"](spark, sf).collect()) == [1, 3]
+    assert {r["doc_id"] for r in QUERIES["c1_title_key"](spark, sf).filter(F.col("text_key").endswith("otherend")).collect()} == {3}
+    assert {r["doc_id"] for r in QUERIES["x8_search_key"](spark, sf).filter(F.col("search_key").endswith("otherend")).collect()} == {3}
 
 
 def test_every_document_has_an_owner_or_is_one(spark, tmp_path):
     long = FILL + FILL
     sf = _documents(spark, tmp_path, [long, long + "a", long, long + "b", long + " A", long + "b", long + "c"])
-    got = {r["doc_id"]: r["owner"] for r in QUERIES["w3_all_owners"](spark, sf).collect()}
+    got = {r["doc_id"]: r["owner"] for r in QUERIES["w3_owners"](spark, sf).collect()}
     assert got == {2: 0, 4: 1, 5: 3}
 
 
