@@ -21,28 +21,36 @@ def published_window(articles: DataFrame) -> DataFrame:
     )
 
 
+# Kinds of text that tell of no incident of their own.
+NO_INCIDENT = ("campaign", "legal_explainer")
+
+
 def eligible(articles: DataFrame) -> DataFrame:
-    """Articles that may speak for a story: about one incident, no campaign, extraction not of low confidence."""
+    """Articles that may speak for a story: about one incident, neither campaign nor legal explainer, extraction not of low confidence."""
     return articles.filter(
-        (F.coalesce("scope", F.lit("incident")) != "aggregate") & (F.coalesce("content_type", F.lit("")) != "campaign") & (F.coalesce("extract_confidence", F.lit("")) != "low")
+        (F.coalesce("scope", F.lit("incident")) == "incident") & ~F.coalesce("content_type", F.lit("")).isin(*NO_INCIDENT) & (F.coalesce("extract_confidence", F.lit("")) != "low")
     )
 
 
 def best_value(articles: DataFrame, value: str, confidence: str) -> DataFrame:
-    """``story_id, <value>, <value>_confidence, <value>_outlets``: the value that the evidence favours.
+    """``story_id, <value>, <value>_confidence, <value>_outlets, <value>_source``: the value that the evidence favours.
 
-    Primary outlets speak if a story has any, aggregators only otherwise; an outlet of unknown kind is primary. Among a story's values
-    the highest confidence wins (null last), then the most distinct outlets, the latest report,
-    the larger value. Two aggregations, the first on (story, value), so that a hot story is summed in parts.
+    Only primary outlets speak if a story has any, with a value or without; aggregators otherwise; an outlet of unknown kind is primary.
+    Among a story's values the highest confidence wins (null last), then the most distinct outlets, the latest report,
+    the larger value. The source is llm if any article with that value has that ``extractor``, else regex. Stories without
+    a value are absent. Two aggregations, the first on (story, value), so that a hot story is summed in parts.
     """
-    known = articles.filter(F.col(value).isNotNull()).withColumn("aggregator", F.coalesce("aggregator", F.lit(False)))
-    each = known.groupBy("story_id", value, "aggregator").agg(F.max(confidence).alias("c"), F.collect_set("source_key").alias("keys"), F.max("published").alias("latest"))
+    told = articles.withColumn("aggregator", F.coalesce("aggregator", F.lit(False)))
+    extracted = F.coalesce(F.bool_or(F.col("extractor") == "llm"), F.lit(False)) if "extractor" in articles.columns else F.bool_or(F.lit(False))
+    each = told.groupBy("story_id", value, "aggregator").agg(F.max(confidence).alias("c"), F.collect_set("source_key").alias("keys"), F.max("published").alias("latest"), extracted.alias("llm"))
     primary = each.groupBy("story_id").agg(F.bool_or(~F.col("aggregator")).alias("has_primary"))
-    kept = each.join(primary, "story_id").filter(~F.col("has_primary") | ~F.col("aggregator"))
-    per_value = kept.groupBy("story_id", value).agg(F.max("c").alias("c"), F.size(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("outlets"), F.max("latest").alias("latest"))
+    kept = each.filter(F.col(value).isNotNull()).join(primary, "story_id").filter(~F.col("has_primary") | ~F.col("aggregator"))
+    outlets = F.size(F.array_distinct(F.flatten(F.collect_list("keys"))))
+    per_value = kept.groupBy("story_id", value).agg(F.max("c").alias("c"), outlets.alias("outlets"), F.max("latest").alias("latest"), F.bool_or("llm").alias("llm"))
     rank = F.struct(F.coalesce("c", F.lit(-1.0)), "outlets", "latest", value)
-    best = per_value.groupBy("story_id").agg(F.max_by(F.struct(value, "c", "outlets"), rank).alias("b"))
-    return best.select("story_id", f"b.{value}", F.col("b.c").alias(f"{value}_confidence"), F.col("b.outlets").cast("long").alias(f"{value}_outlets"))
+    best = per_value.groupBy("story_id").agg(F.max_by(F.struct(value, "c", "outlets", "llm"), rank).alias("b"))
+    source = F.when(F.col("b.llm"), "llm").otherwise("regex")
+    return best.select("story_id", f"b.{value}", F.col("b.c").alias(f"{value}_confidence"), F.col("b.outlets").cast("long").alias(f"{value}_outlets"), source.alias(f"{value}_source"))
 
 
 def modal_value(rows: DataFrame, key: str, value: str) -> DataFrame:

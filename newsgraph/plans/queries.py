@@ -261,9 +261,9 @@ _REPORTS = """r AS (SELECT event_id AS id, user_id AS story_id, CASE WHEN event_
 
 @query(f"""
 WITH {_REPORTS},
-e AS (SELECT * FROM r WHERE scope <> 'aggregate' AND coalesce(content_type, '') <> 'campaign' AND coalesce(extract_confidence, '') <> 'low' AND deaths IS NOT NULL),
+e AS (SELECT * FROM r WHERE scope <> 'aggregate' AND coalesce(content_type, '') <> 'campaign' AND coalesce(extract_confidence, '') <> 'low'),
 p AS (SELECT story_id, bool_or(NOT aggregator) AS has_primary FROM e GROUP BY 1),
-g AS (SELECT story_id, deaths, max(confidence) AS c, count(DISTINCT source_key) AS outlets, max(published) AS latest FROM e JOIN p USING (story_id) WHERE NOT has_primary OR NOT aggregator GROUP BY 1, 2)
+g AS (SELECT story_id, deaths, max(confidence) AS c, count(DISTINCT source_key) AS outlets, max(published) AS latest FROM e JOIN p USING (story_id) WHERE deaths IS NOT NULL AND (NOT has_primary OR NOT aggregator) GROUP BY 1, 2)
 SELECT story_id, deaths, round(c::DOUBLE, 6) AS deaths_confidence, outlets AS deaths_outlets FROM
   (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY c DESC NULLS LAST, outlets DESC, latest DESC, deaths DESC) AS n FROM g) WHERE n = 1""")
 def a3_best_value(spark: SparkSession, sf_dir: str) -> DataFrame:
