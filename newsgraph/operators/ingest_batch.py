@@ -20,10 +20,10 @@ from newsgraph.operators import rollup, rows
 from newsgraph.tables import materialize
 
 REPORT = (
-    "place long, story_id long, norm_title string, title_key string, url string, title string, source_key string, aggregator boolean, confidence string, "
+    "place long, story_id long, joins long, norm_title string, title_key string, url string, title string, source_key string, aggregator boolean, confidence string, "
     "published timestamp, deaths long, injuries long, deaths_confidence float, injuries_confidence float, scope string, content_type string, extract_confidence string"
 )
-ARTICLE = "id long, " + REPORT.removeprefix("place long, ").replace("norm_title string, ", "")
+ARTICLE = "id long, " + REPORT.removeprefix("place long, ").replace("joins long, norm_title string, ", "")
 STORY = (
     "story_id long, display_title string, norm_title string, first_published timestamp, last_published timestamp, source_count long, max_confidence string, "
     "deaths long, injuries long, deaths_manual long, injuries_manual long, casualties_locked boolean"
@@ -49,15 +49,18 @@ def distinct_reports(batch: DataFrame) -> DataFrame:
 
 
 def ingest(batch: DataFrame, stories: DataFrame, articles: DataFrame) -> Ingested:
-    """``batch`` (REPORT; ``place`` is unique, ``story_id`` a stored story or null) into ``stories`` (STORY) and ``articles`` (ARTICLE).
+    """``batch`` (REPORT; ``place`` is unique, ``story_id`` a stored story or null, ``joins`` the place of an earlier report whose story it shares) into ``stories`` (STORY) and ``articles`` (ARTICLE).
 
     Story and article ids go on from the largest ones stored, plus place, so a batch that is run again gives the same rows.
-    Tables are met on keys only; of the stored articles those of touched stories are read for the sums.
+    A report that joins one that is left out or itself joins another stands for itself. Tables are met on keys only; of the stored articles those of touched stories are read for the sums.
     """
     held = articles.select("id", "story_id", "url", "title_key")
     new = rows.new_rows(distinct_reports(batch.select(*names(REPORT))), held, "url")
+    there = new.filter("joins IS NULL").select(F.col("place").alias("joins"), F.lit(True).alias("_there"))
+    new = new.join(there, "joins", "left").withColumn("joins", F.when(F.col("_there") & F.col("story_id").isNull(), F.col("joins")))
+    followers = new.filter("joins IS NOT NULL").withColumn("_matched", F.lit(True))
     by_title = stories.filter("norm_title IS NOT NULL").groupBy("norm_title").agg(F.min("story_id").alias("_known"))
-    new = new.join(by_title, "norm_title", "left").withColumn("_told", F.coalesce("story_id", "_known")).withColumn("_matched", F.col("story_id").isNotNull())
+    new = new.filter("joins IS NULL").join(by_title, "norm_title", "left").withColumn("_told", F.coalesce("story_id", "_known")).withColumn("_matched", F.col("story_id").isNotNull())
     # Of reports that no story takes, the first with a normalised title founds for all of them; one without founds for itself.
     alike = F.when(F.col("_told").isNull(), F.coalesce(F.concat(F.lit("t"), "norm_title"), F.concat(F.lit("p"), F.col("place").cast("string"))))
     new = new.withColumn("_alike", alike)
@@ -65,6 +68,8 @@ def ingest(batch: DataFrame, stories: DataFrame, articles: DataFrame) -> Ingeste
     last = stories.agg(F.coalesce(F.max("story_id"), F.lit(0)).alias("_last_story")).crossJoin(articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last_article")))
     new = new.join(founders, "_alike", "left").crossJoin(F.broadcast(last))  # one row
     new = new.withColumn("_story", F.coalesce("_told", F.col("_last_story") + 1 + F.col("_founder")))
+    led = new.select(F.col("place").alias("joins"), "_story", "_last_article")
+    new = new.unionByName(followers.join(led, "joins"), allowMissingColumns=True)
     taken = held.select(F.col("story_id").alias("_story"), "title_key", F.lit(True).alias("_taken")).distinct()
     settled = materialize(new.join(taken, ["_story", "title_key"], "left").withColumn("inserted", F.col("_taken").isNull()), "ingest-settled")
 

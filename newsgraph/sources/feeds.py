@@ -1,4 +1,8 @@
-"""Feed items from landed files: RSS and Atom XML, and JSON lines of labelled cases."""
+"""Feed items from landed files: RSS and Atom XML, and JSON lines of labelled cases.
+
+Edge cases: a malformed item or one without title or link is an error row, the others go on; items
+without a date are not recent; a folder without items gives no rows; unknown elements are dropped.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,45 @@ from pyspark.sql import functions as F
 from newsgraph.functions.text import host_of, strip_html, unwrapped_link
 from newsgraph.operators.rows import first_wins
 
-ITEM = "title string, link string, pubDate string, published string, updated string, description string, summary string, source struct<_VALUE:string,_url:string>"
+PLAIN = "pubDate string, published string, updated string, description string, summary string"
+# A link is text, or an element whose address is an attribute; there may be several, of which the first counts.
+ITEM = f"title string, link array<struct<_VALUE:string,_href:string>>, {PLAIN}, source struct<_VALUE:string,_url:string>, _malformed string"
+# Row elements of the two kinds of feed.
+RSS, ATOM = "item", "entry"
 MAX_AGE_DAYS = 45
 MAX_SUMMARY = 300
 UNKNOWN_SOURCE = "unknown"
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Items of all RSS files under a path; malformed items come back with nulls instead of failing the read."""
-    return spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").schema(ITEM).load(path)
+def read_rss(spark: SparkSession, path: str, kind: str = RSS) -> DataFrame:
+    """Items of all feeds of one kind under a path, with the file they came from; a malformed item has its text in ``_malformed`` and nulls elsewhere."""
+    reader = spark.read.format("xml").option("rowTag", kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed")
+    items = reader.schema(ITEM).load(path).withColumn("feed", F.input_file_name())
+    # An empty address is none: the first link decides, whether or not it has one.
+    first = F.get("link", F.lit(0))
+    return items.withColumn("link", F.nullif(F.trim(F.coalesce(F.nullif(F.trim(first["_VALUE"]), F.lit("")), first["_href"])), F.lit("")))
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Items of RSS and Atom feeds under a path."""
+    return read_rss(spark, path, RSS).unionByName(read_rss(spark, path, ATOM))
+
+
+def errors(items: DataFrame) -> DataFrame:
+    """``feed, reason, items``: what was left out of each feed."""
+    reason = F.when(F.col("_malformed").isNotNull(), "malformed").when(F.coalesce(F.trim("title"), F.lit("")) == "", "no title").when(F.col("link").isNull(), "no link")
+    return items.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("feed", "reason").agg(F.count("*").alias("items"))
+
+
+def usable(items: DataFrame) -> DataFrame:
+    """Items with a title and a link."""
+    return items.filter(F.col("_malformed").isNull() & (F.coalesce(F.trim("title"), F.lit("")) != "") & F.col("link").isNotNull()).drop("_malformed")
+
+
+def search_queries(queries: DataFrame, seasonal: bool = False, engines: tuple[str, ...] = ("bing",)) -> DataFrame:
+    """Of a table (engine, query, seasonal) the queries of the engines that are switched on; those of the season only in it. A null season is all year."""
+    wanted = F.lit(True) if seasonal else ~F.coalesce("seasonal", F.lit(False))
+    return queries.filter(F.col("engine").isin(*engines) & wanted).select("engine", "query").distinct()
 
 
 def read_gold(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

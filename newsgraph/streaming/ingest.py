@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsgraph.operators.rows import first_wins
+from newsgraph.tables import exists
 
 
 def stream_items(spark: SparkSession, path: str, schema, time: str) -> DataFrame:
@@ -24,8 +25,7 @@ def ingest(items: DataFrame, key: str, time: str, horizon: str, target: str, che
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = first_wins(batch.filter(F.col(key).isNotNull()), [key], F.col(time), F.col(key))
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        if exists(spark, target):
             rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti").select(*batch.columns)
         rows.write.mode("append").parquet(target)
 

@@ -14,7 +14,7 @@ EPOCH = datetime(2026, 1, 1, tzinfo=UTC)
 
 def _report(draw, place):
     return {
-        "place": place, "story_id": draw.choice((None, None, 1, 2, 3)), "norm_title": draw.choice((None, *"abcdef")), "title_key": f"t{draw.randint(0, 25)}", "url": f"u{draw.randint(0, 30)}", "title": f"title {place}",
+        "place": place, "story_id": draw.choice((None, None, 1, 2, 3)), "joins": None, "norm_title": draw.choice((None, *"abcdef")), "title_key": f"t{draw.randint(0, 25)}", "url": f"u{draw.randint(0, 30)}", "title": f"title {place}",
         "source_key": draw.choice("xyz"), "aggregator": draw.choice((True, False, None)), "confidence": draw.choice(("high", "medium")), "published": EPOCH + timedelta(hours=draw.randint(0, 500)),
         "deaths": draw.choice((None, 1, 2)), "injuries": draw.choice((None, 4)), "deaths_confidence": draw.choice((None, 0.5, 0.75)), "injuries_confidence": 0.5,
         "scope": draw.choice(("incident", "aggregate", None)), "content_type": draw.choice((None, "campaign", "legal_explainer", "crash")), "extract_confidence": draw.choice((None, "low")),
@@ -97,6 +97,14 @@ def test_batch_equals_one_by_one(spark, seed):
     assert (count["new_stories"], count["merged"], count["skipped"]) == tuple(sum(1 for _, i, m in out.values() if (i, m) == want) for want in ((True, False), (True, True), (False, False)))
 
 
+def test_reports_that_join_another_one(spark):
+    base = {**_report(random.Random(1), 0), "story_id": None}
+    batch = [{**base, "place": p, "url": f"u{p}", "title_key": f"t{p}", "norm_title": f"n{p}", "joins": j} for p, j in enumerate((None, 0, 1, 0, 77))]
+    got = B.ingest(_typed(spark, batch, B.REPORT), spark.createDataFrame([], B.STORY), spark.createDataFrame([], B.ARTICLE))
+    assert {r["place"]: (r["story_id"], r["matched"]) for r in got.outcomes.collect()} == {0: (1, False), 1: (1, True), 2: (3, False), 3: (1, True), 4: (5, False)}
+    assert got.stories.count() == 3
+
+
 def test_empty_tables(spark):
     empty = [spark.createDataFrame([], s) for s in (B.REPORT, B.STORY, B.ARTICLE)]
     got = B.ingest(*empty)
