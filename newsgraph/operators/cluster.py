@@ -44,6 +44,14 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def explained_groups(clusters: DataFrame) -> DataFrame:
-    """Clusters of two and more: ``cluster, size, members`` with members in order of id."""
-    return clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members")).filter("size > 1")
+def folded_groups(clusters: DataFrame, reports: DataFrame) -> DataFrame:
+    """``parent, id, size, shared`` of the members of clusters (id, cluster) of two and more.
+
+    The oldest member is the parent, the least id on equal times. ``shared`` are the keys of entities
+    (of ``reports``: id, published, features) that a member has in common with its parent, in the
+    parent's order: why it is there. Empty means by text alone; the parent shares all with itself.
+    """
+    members = clusters.join(reports.select("id", "published", F.col("features.entities.key").alias("_keys")), "id")
+    first = members.groupBy("cluster").agg(F.count("*").alias("size"), F.min_by(F.struct("id", "_keys"), F.struct("published", "id")).alias("_p")).filter("size > 1")
+    both = members.join(first, "cluster")
+    return both.select(F.col("_p.id").alias("parent"), "id", "size", F.array_intersect("_p._keys", "_keys").alias("shared"))

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions import text as X
-from newsgraph.operators import attach, enrich, match, rows, similarity
+from newsgraph.operators import attach, cluster, enrich, ingest_batch, match, rows, similarity
 from newsgraph.operators import entities as E
 from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
-from newsgraph.tables import materialize, table
+from newsgraph.sources import feeds
+from newsgraph.tables import materialize, table, table_path
 
 # SQL of the word-list functions, written out of the same lists.
 
@@ -335,3 +336,42 @@ def g9_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports, candidates = _part_pairs(spark, sf_dir)
     same = match.matching(candidates, reports, reports).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), F.lit(False).alias("stored"), "rank")
     return attach.attached(reports.select("id", F.col("id").alias("place")), materialize(same, "matches"))
+
+
+@query(f"""WITH {_PART_ROWS}, p AS (SELECT p_brand, min(id) AS parent, count(*) AS size, arg_min(entities, id) AS pe FROM f GROUP BY 1 HAVING count(*) > 1)
+SELECT parent, id, size, array_to_string(list_filter(list_transform(pe, lambda x: x.k), lambda k: list_contains(list_transform(entities, lambda y: y.k), k)), ',') AS shared FROM f JOIN p USING (p_brand)""")
+def g8_folded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as clusters of parts, an hour a part."""
+    reports, _ = _part_pairs(spark, sf_dir)
+    clusters = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster"))
+    found = cluster.folded_groups(clusters, reports.withColumn("published", F.timestamp_seconds(F.col("id") * 3600)))
+    return found.withColumn("shared", _joined(F.col("shared")))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS place, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS given, 'n' || (o_orderkey % 700) AS norm, 't' || (o_orderkey % 401) AS title_key, 'u' || (o_orderkey % 1201) AS url FROM orders WHERE o_orderkey % 4 = 0),
+h AS (SELECT o_orderkey AS id, o_custkey AS story_id, 't' || (o_orderkey % 401) AS title_key, CASE WHEN o_orderkey < 1000 THEN 'u' || o_orderkey ELSE 's' || o_orderkey END AS url FROM orders WHERE o_orderkey % 4 > 0),
+u AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY url ORDER BY place) = 1), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY place) = 1),
+t AS (SELECT k.*, coalesce(given, c.c_custkey) AS told FROM k LEFT JOIN customer c ON 'n' || c.c_custkey = k.norm WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.url = k.url)),
+f AS (SELECT *, coalesce(told, (SELECT max(c_custkey) FROM customer) + 1 + min(place) FILTER (WHERE told IS NULL) OVER (PARTITION BY norm)) AS story FROM t),
+i AS (SELECT *, NOT EXISTS (SELECT 1 FROM h WHERE h.story_id = f.story AND h.title_key = f.title_key) AS inserted FROM f)
+SELECT place, url, CASE WHEN inserted THEN story ELSE (SELECT arg_min(h.story_id, h.id) FROM h WHERE h.title_key = i.title_key) END AS story_id, inserted, inserted AND given IS NOT NULL AS matched FROM i""")
+def w2_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stories, three quarters of the orders as their articles, the others as a batch of reports."""
+    key, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    named = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    own = {"source_key": F.col("o_orderpriority"), "aggregator": F.col("o_orderstatus") == "P", "published": F.col("o_orderdate").cast("timestamp"), "deaths": key % 5, "deaths_confidence": F.lit(0.5), "title_key": named("t", key % 401)}
+    typed = lambda df, schema: spark.createDataFrame([], schema).unionByName(df, allowMissingColumns=True)
+    batch = o.filter(key % 4 == 0).select(key.alias("place"), F.when(key % 3 == 0, F.col("o_custkey")).alias("story_id"), named("n", key % 700).alias("norm_title"), named("u", key % 1201).alias("url"), *(c.alias(n) for n, c in own.items()))
+    url = F.when(key < 1000, named("u", key)).otherwise(named("s", key))
+    articles = o.filter(key % 4 > 0).select(key.alias("id"), F.col("o_custkey").alias("story_id"), url.alias("url"), *(c.alias(n) for n, c in own.items()))
+    stories = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("story_id"), named("n", F.col("c_custkey")).alias("norm_title"))
+    return ingest_batch.ingest(typed(batch, ingest_batch.REPORT), typed(stories, ingest_batch.STORY), typed(articles, ingest_batch.ARTICLE)).outcomes
+
+
+@query("SELECT url AS link, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS source, 'page ' || page_id AS summary FROM pages")
+def s1_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses written as RSS feeds and read back."""
+    path = table_path(spark, "feeds")
+    items = table(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.col("url").alias("link"), F.concat(F.lit("<p>page "), F.col("page_id").cast("string"), F.lit("</p>")).alias("description"))
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", feeds.RSS).save(path)
+    return feeds.direct_items(feeds.usable(feeds.read_feeds(spark, path))).select("link", "source", "summary")

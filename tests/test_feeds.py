@@ -16,7 +16,8 @@ def test_both_kinds_of_feeds(spark, tmp_path):
     assert {t: r["link"] for t, r in got.items()} == {"One": "http://a/1", "Two": "http://a/2", "Seven": "http://a/7"}
     assert got["One"]["source"]["_VALUE"] == "Own" and got["Seven"]["feed"].endswith("b.xml")
     left_out = {(r["feed"].rpartition("/")[2], r["reason"]): r["items"] for r in feeds.errors(items).collect()}
-    assert left_out == {("a.xml", "no title"): 1, ("a.xml", "no link"): 1, ("a.xml", "malformed"): 1}
+    # What follows a broken tag up to the end of the file may come back as a row of its own.
+    assert left_out.pop(("a.xml", "malformed")) >= 1 and left_out == {("a.xml", "no title"): 1, ("a.xml", "no link"): 1}
     told = {r["title"]: r for r in feeds.direct_items(feeds.usable(items)).collect()}
     assert told["One"]["published"] == told["Seven"]["published"] and told["Seven"]["summary"] == "s" and told["One"]["source"] == "a"
     assert told["Two"]["published"] is None
