@@ -76,7 +76,7 @@ FROM l"""
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     line = F.substring_index("text", "\n", 1)
     return docs.select("doc_id", "source", "text", line.alias("title"), F.substr("text", F.length(line) + 2).alias("summary"), X.squeeze_for_match(F.col("text")).alias("text_key"))
 
@@ -160,7 +160,7 @@ def _strip(html: str) -> str:
 
 @query(f"SELECT page_id, substr({_strip('html')}, 1, 2500) AS text FROM pages")
 def x19_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html"), 2500).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", X.strip_html(F.col("html"), 2500).alias("text"))
 
 
 @query(f"""
