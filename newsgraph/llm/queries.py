@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, toxicity, training_order, warc
+from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, recursive_bpe, toxicity, training_order, warc
 from newsgraph.tables import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), to_shards.alias("shards"))
 
 
+def op11_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text by a rank file, decode the ids again, and digest both."""
+    ids = recursive_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
+    kept = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    return recursive_bpe.decode(kept, RANKS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_bpe": op2_bpe,
@@ -93,6 +101,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_recursive_bpe": op11_recursive_bpe,
 }
 # Where SQL says the same. Training, graphs, merges and draws have no SQL form; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
