@@ -1,0 +1,291 @@
+"""Alignment of two tokenizers over the same texts by a dangling-suffix transducer.
+
+Side A is a byte-level BPE file, side B a sentencepiece model; both encode a space and the text. The
+transducer reads tokens from the side that is behind. Its state is the side that leads and the bytes
+of its last token that the other side has not matched yet; an empty residue closes a group. So every
+token but the first of a group overlaps the last token of the other side: that is a link. Transitions
+are memoised by state and token, groups by their first pair or their tokens, both up to a bound.
+
+``align`` gives each document its groups and links; ``with_counts`` adds in how many documents of the
+whole table each linked pair of ids stands. Documents are dealt into blocks of bounded size, and a
+block asks for the count of each of its pairs once, so that a pair that stands in all documents moves
+one row a block; no task holds more than a block or the counts of its share of the pairs.
+
+Edge cases: null and empty texts, and texts that either side does not give back byte by byte (such as
+ones with U+2581, which B takes for a space), have no tokens: zeros, and an empty string for groups.
+Repeated rows and ids are documents of their own. Extra columns are dropped; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import sentencepiece
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from newsgraph.llm.bpe import split_words, vocabulary
+from newsgraph.tables import materialize
+
+# Characters of text of a block of documents, and its largest number of documents.
+BLOCK_CHARS, BLOCK_DOCS = 8_000_000, 20_000
+# Characters that are encoded at once.
+RUN_CHARS = 500_000
+# Memoised transitions and groups of a worker.
+MOST_STATES, MOST_TRANSITIONS, MOST_GROUPS = 100_000, 1_000_000, 300_000
+B_BITS = 20
+SPACE_SIGN = "▁"
+
+ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>, block_pairs array<long>, block_docs array<long>"
+
+
+class Side:
+    """Token bytes of one side by id."""
+
+    def __init__(self, token_bytes: list[bytes]):
+        self.token_bytes = token_bytes
+
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, ids))
+
+
+class ByteLevel(Side):
+    """A byte-level BPE file; special tokens in a text are plain text."""
+
+    def __init__(self, path: str):
+        self.words = vocabulary(path).words
+        super().__init__(vocabulary(path).token_bytes)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, split_words(" " + t))), "<u4").tolist() for t in texts]
+
+
+class Pieces(Side):
+    """A sentencepiece model, which puts the space before the text itself."""
+
+    def __init__(self, path: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        plain = lambda i, name: bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace(SPACE_SIGN, " ").encode()
+        super().__init__([plain(i, name) for i, name in enumerate(names)])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1) if texts else []
+
+
+class _Groups(dict):
+    """First pair of tokens of a group to whether the group ends with it."""
+
+    def __init__(self, a: Side, b: Side):
+        super().__init__()
+        self.a, self.b = a, b
+
+    def __missing__(self, pair: int) -> bool:
+        ends = self.a.token_bytes[pair >> B_BITS] == self.b.token_bytes[pair & ((1 << B_BITS) - 1)]
+        if len(self) >= MOST_TRANSITIONS:
+            self.clear()
+        self[pair] = ends
+        return ends
+
+
+class Transducer:
+    """Aligns id lists of two sides with equal bytes."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.closes = _Groups(a, b)
+        self._forget()
+
+    def _forget(self) -> None:
+        """States are numbered; 0 is the empty residue, an even number means that A leads."""
+        self.number: dict[tuple[bool, bytes], int] = {}
+        self.residue: dict[int, bytes] = {0: b""}
+        self.next_of: dict[int, int] = {}
+
+    def _state(self, a_leads: bool, residue: bytes) -> int:
+        if not residue:
+            return 0
+        found = self.number.get((a_leads, residue))
+        if found is None:
+            found = self.number[a_leads, residue] = 2 * len(self.number) + (2 if a_leads else 3)
+            self.residue[found] = residue
+        return found
+
+    def _step(self, state: int, token: int) -> int:
+        """The state after ``token`` of the side that is behind (of A, if none leads)."""
+        a_leads = state % 2 == 0 and state != 0
+        read = (self.b if a_leads else self.a).token_bytes[token]
+        left = self.residue[state]
+        if not left:
+            found = self._state(True, read)
+        elif len(read) <= len(left):
+            found = self._state(a_leads, left[len(read) :])
+        else:
+            found = self._state(not a_leads, read[len(left) :])
+        self.next_of[state << B_BITS | token] = found
+        return found
+
+    def align(self, a_ids: list[int], b_ids: list[int]) -> list[int | tuple[tuple[int, ...], ...]]:
+        """The groups in order: a pair of ids as one number, or where there are more the ids of A, those of B and the links."""
+        if len(self.number) > MOST_STATES or len(self.next_of) > MOST_TRANSITIONS:
+            self._forget()
+        next_of, closes = self.next_of.get, self.closes
+        groups: list = []
+        add = groups.append
+        a_rest, b_rest = iter(a_ids), iter(b_ids)
+        while True:
+            for a, b in zip(a_rest, b_rest, strict=False):
+                pair = a << B_BITS | b
+                if not closes[pair]:
+                    break
+                add(pair)
+            else:
+                return groups
+            of_a, of_b, links = [a], [b], [pair]
+            state = self._step(0, a) if (found := next_of(a)) is None else found
+            token = b
+            while True:
+                key = state << B_BITS | token
+                state = self._step(state, token) if (found := next_of(key)) is None else found
+                if not state:
+                    break
+                if state % 2:
+                    a = token = next(a_rest)
+                    of_a.append(token)
+                else:
+                    b = token = next(b_rest)
+                    of_b.append(token)
+                links.append(a << B_BITS | b)
+            add((tuple(of_a), tuple(of_b), tuple(links)))
+
+
+class Aligner:
+    """Both sides, the transducer, and what the groups met so far say."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        if max(len(self.a.token_bytes), len(self.b.token_bytes)) > 1 << B_BITS:
+            raise ValueError(f"a vocabulary has more than {1 << B_BITS} tokens")
+        self.transducer = Transducer(self.a, self.b)
+        self.texts: dict = {}
+        self.links: dict = {}
+
+    def _meet(self, group) -> None:
+        if isinstance(group, int):
+            self.texts[group], self.links[group] = f"{group >> B_BITS}|{group & ((1 << B_BITS) - 1)}", [group]
+        else:
+            self.texts[group] = "|".join(",".join(map(str, side)) for side in group[:2])
+            self.links[group] = group[2]
+
+    def _encoded(self, places: list[int], texts: list[str]):
+        """Place, text and ids of both sides, encoded in runs of bounded size."""
+        start = chars = 0
+        for at, i in enumerate(places):
+            chars += len(texts[i])
+            if chars >= RUN_CHARS or at + 1 == len(places):
+                run = places[start : at + 1]
+                given = [texts[k] for k in run]
+                yield from zip(run, given, self.a.encode(given), self.b.encode(given), strict=True)
+                start, chars = at + 1, 0
+
+    def block(self, number: int, doc_ids: list, texts: list[str | None]) -> pa.RecordBatch:
+        """Aligned documents of one block; its first row holds the pairs of the whole block and the number of its documents with each."""
+        plain = [t or "" for t in texts]
+        full = [i for i, t in enumerate(plain) if t]
+        rows: list[list] = [[number, d, 0, 0, 0, 0, "", [], [], None, None] for d in doc_ids]
+        in_docs: Counter = Counter()
+        for i, text, a_ids, b_ids in self._encoded(full, plain):
+            data = (" " + text).encode("utf-8")
+            if self.a.joined(a_ids) != data or self.b.joined(b_ids) != data:
+                continue
+            groups = self.transducer.align(a_ids, b_ids)
+            times = Counter(groups)
+            if len(self.texts) > MOST_GROUPS:
+                self.texts.clear(), self.links.clear()
+            for g in times.keys() - self.texts.keys():
+                self._meet(g)
+            linked: dict[int, int] = {}
+            for g, n in times.items():
+                for pair in self.links[g]:
+                    linked[pair] = linked.get(pair, 0) + n
+            in_docs.update(linked.keys())
+            n_links = len(a_ids) + len(b_ids) - len(groups)
+            rows[i][2:9] = [len(a_ids), len(b_ids), len(groups), n_links, ";".join(map(self.texts.__getitem__, groups)), list(linked), list(linked.values())]
+        if rows:
+            rows[0][9:] = [list(in_docs), list(in_docs.values())]
+        kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in ALIGNED.split(", ")])
+
+
+@lru_cache(maxsize=2)
+def aligner(a_path: str, b_path: str) -> Aligner:
+    return Aligner(a_path, b_path)
+
+
+def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Documents (doc_id, text) to rows of ``ALIGNED``.
+
+    ``groups`` is ``a1,a2|b1;a3|b2,b3``: ids of A and B by group. ``pairs`` are the distinct linked pairs
+    (A's id shifted left by 20 bits, or B's id) and ``times`` how often each is linked.
+    """
+
+    def run(batches):
+        to = aligner(a_path, b_path)
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            start = chars = 0
+            for at, text in enumerate(texts):
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS or at + 1 - start >= BLOCK_DOCS or at + 1 == len(texts):
+                    yield to.block(block, ids[start : at + 1], texts[start : at + 1])
+                    block, start, chars = block + 1, at + 1, 0
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ALIGNED)
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """``pair, count, best``: the number of documents with each linked pair, and whether no pair of the same A id has more."""
+    each = aligned.filter("block_pairs IS NOT NULL").select(F.explode(F.arrays_zip("block_pairs", "block_docs")).alias("p"))
+    counts = each.groupBy(F.col("p.block_pairs").alias("pair")).agg(F.sum("p.block_docs").alias("count")).withColumn("a", F.shiftright("pair", B_BITS))
+    most = counts.groupBy("a").agg(F.max("count").alias("most"))
+    return counts.join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+
+
+def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """``n_best`` and ``count_sum`` of the documents of one block."""
+    pairs, count, best = (answers.column(c).to_numpy() for c in ("pair", "count", "best"))
+    order = np.argsort(pairs)
+    pairs, count, best = pairs[order], count[order], best[order].astype(np.int64)
+    lists = docs.column("pairs").combine_chunks()
+    at = np.searchsorted(pairs, lists.flatten().to_numpy())
+    times = docs.column("times").combine_chunks().flatten().to_numpy().astype(np.int64)
+    ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    sums = lambda values: np.diff(np.r_[0, np.cumsum(values)][ends])
+    kept = docs.drop_columns(["block", "pairs", "times"])
+    return kept.append_column("n_best", pa.array(sums(times * best[at] if len(at) else times), pa.int64())).append_column("count_sum", pa.array(sums(times * count[at] if len(at) else times), pa.int64()))
+
+
+def with_counts(aligned: DataFrame) -> DataFrame:
+    """``doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum`` of a written table of ``align``.
+
+    ``n_best`` are a document's links whose pair stands in as many documents as any pair of its A id;
+    ``count_sum`` adds the number of documents of the pair over all its links.
+    """
+    asked = aligned.filter("block_pairs IS NOT NULL").select(F.col("block").alias("of_block"), F.explode("block_pairs").alias("pair"))
+    answers = asked.join(pair_counts(aligned), "pair").select("of_block", "pair", "count", "best")
+    kept = [f.name for f in aligned.schema if f.name not in ("block_pairs", "block_docs")]
+    docs = aligned.select(*kept)
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.drop("block", "pairs", "times").schema)
+    return docs.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_score, f"{out}, n_best long, count_sum long")
+
+
+def aligned_table(docs: DataFrame, a_path: str, b_path: str, *digests) -> DataFrame:
+    """``align`` written to the shared folder; ``digests`` are columns of ``groups`` that are kept in its place."""
+    found = align(docs, a_path, b_path)
+    return materialize(found.select(*[c for c in found.columns if c != "groups"], *(digests or ["groups"])), "aligned", "zstd")

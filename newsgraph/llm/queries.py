@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import bpe, exact_search, graph_search, licences, mixing, near_duplicates, pii, recursive_bpe, toxicity, training_order, warc
+from newsgraph.llm import alignment, bpe, clustering, exact_search, graph_search, licences, mixing, near_duplicates, pii, recursive_bpe, toxicity, training_order, warc
 from newsgraph.tables import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -90,6 +91,18 @@ def op11_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive_bpe.decode(kept, RANKS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every whole text, with the corpus-wide counts of the linked pairs."""
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = alignment.aligned_table(table(spark, sf_dir, "documents"), TOKENIZER, PIECES, digest)
+    return alignment.with_counts(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds from 16 first centroids."""
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_bpe": op2_bpe,
@@ -102,7 +115,37 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op11_recursive_bpe": op11_recursive_bpe,
+    "op12_alignment": op12_alignment,
+    "op13_clusters": op13_clusters,
 }
+
+
+def _clusters_sql(k: int = clustering.K, rounds: int = clustering.ROUNDS) -> str:
+    """Centroids c0, c1, … and assignments a0, a1, … as tables."""
+    parts = [
+        f"""v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+            WHERE len(embedding) = {clustering.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, w FROM (SELECT w, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS (
+            SELECT vec_id, w, c, d FROM (
+                SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS place
+                FROM (SELECT vec_id, v.w, c, CAST(list_sum(list_transform(list_zip(v.w, m.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{n} m)
+            ) WHERE place = 1)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS (
+                SELECT m.c, coalesce(t.w, m.w) AS w FROM c{n} m LEFT JOIN (
+                    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w
+                    FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a{n}) GROUP BY c, i) GROUP BY c
+                ) t ON t.c = m.c)""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.w, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} m ON m.c = a.c"""
+
+
 # Where SQL says the same. Training, graphs, merges and draws have no SQL form; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": """
@@ -141,4 +184,5 @@ ORACLE_SQL: dict[str, str] = {
                 + strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1) // CAST(pow(2, 3 - 5 * i % 4) AS INTEGER) % 32 + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
             CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
         FROM d""",
+    "op13_clusters": _clusters_sql(),
 }
