@@ -26,6 +26,7 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -34,10 +35,10 @@ from newsgraph.llm.bpe import split_words
 # Bytes up to which a word takes one merge a round.
 SHORT = 64
 # Rows that one recursive query starts from, and that it may add up to over all its rounds.
-START_ROWS, ALL_ROWS = 1_000_000, 6_000_000
-CACHED_WORDS = 500_000
+START_ROWS, ALL_ROWS = 300_000, 3_000_000
+CACHED_WORDS = 300_000
 # Characters of text and number of ids that are handled at once.
-BATCH_CHARS, BATCH_IDS = 8_000_000, 1_000_000
+BATCH_CHARS, BATCH_IDS = 2_000_000, 500_000
 
 # Each token with the one after it and the rank of the pair that they make, if they do.
 _RANKED = """
@@ -102,7 +103,7 @@ class Merges:
             for x, y in zip(t, t[1:], strict=False):
                 self.spans[x << 8 | y] = True
         self.base = duckdb.connect()
-        self.base.execute("SET threads = 1; SET memory_limit = '700MB'; SET temp_directory = ''; SET enable_progress_bar = false")
+        self.base.execute("SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = ''; SET enable_progress_bar = false")
         self._table("merges", pair=left << 32 | right, rank=rank.astype(np.int32))
         # A byte is written as the character of its number.
         self._table("vocabulary", id=np.fromiter(self.ranks.values(), np.int32), letters=[t.decode("latin-1") for t in self.ranks])
@@ -208,7 +209,7 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def _map_column(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.DataType, sizes: Callable[[pa.Array], list[int]], most: int, function: Callable[[], Callable[[pa.Array], pa.Array | list]]) -> DataFrame:
+def _map_column(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.DataType, sizes: Callable[[pa.Array], pa.Array], most: int, function: Callable[[], Callable[[pa.Array], pa.Array | list]]) -> DataFrame:
     """Replace ``source`` by ``target`` = function(source), in runs of rows that add up to about ``most``; other columns untouched."""
     schema = T.StructType([f for f in df.schema.fields if f.name not in (source, target)] + [T.StructField(target, kind)])
 
@@ -217,7 +218,7 @@ def _map_column(df: DataFrame, source: str, target: str, kind: T.DataType, arrow
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(source))
             keep = [n for n in batch.schema.names if n not in (source, target)]
-            for rows in _runs(np.arange(len(values)), np.array(sizes(values), np.int64), most):
+            for rows in _runs(np.arange(len(values)), sizes(values).fill_null(0).to_numpy(zero_copy_only=False), most):
                 part = slice(int(rows[0]), int(rows[-1]) + 1)
                 made = apply(values[part])
                 yield pa.RecordBatch.from_arrays([*(batch.column(n)[part] for n in keep), made if isinstance(made, pa.Array) else pa.array(made, arrow)], names=[*keep, target])
@@ -227,11 +228,9 @@ def _map_column(df: DataFrame, source: str, target: str, kind: T.DataType, arrow
 
 def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Column ``text`` becomes ``ids``, an array of token ids; ``ranks`` is the path of a rank file."""
-    lengths = lambda values: [len(v or "") for v in values.to_pylist()]
-    return _map_column(df, text, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lengths, BATCH_CHARS, lambda: lambda values, e=merges(ranks).encode: e(values.to_pylist()))
+    return _map_column(df, text, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), pc.utf8_length, BATCH_CHARS, lambda: lambda values, e=merges(ranks).encode: e(values.to_pylist()))
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "ids", data: str = "bytes") -> DataFrame:
     """Column ``ids`` becomes ``data``, the bytes of its tokens in order."""
-    lengths = lambda values: [n or 0 for n in values.value_lengths().to_pylist()]
-    return _map_column(df, ids, data, T.BinaryType(), pa.binary(), lengths, BATCH_IDS, lambda: merges(ranks).decode)
+    return _map_column(df, ids, data, T.BinaryType(), pa.binary(), pc.list_value_length, BATCH_IDS, lambda: merges(ranks).decode)
