@@ -178,16 +178,6 @@ def test_components_with_a_hub(spark, monkeypatch):
     assert got == {**{i: 7 for i in [*range(7, 300), 500]}, **{i: 300 for i in range(300, 331)}, 1000: 1000, 1001: 1000}
 
 
-
-def test_similarity_join_loses_no_pair(spark):
-    draw = random.Random(4)
-    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 9))) for _ in range(60)]
-    rows_ = spark.createDataFrame([(i, "x", w) for i, w in enumerate(words)], "id long, block string, w string").select("id", "block", X.trigrams(F.col("w")).alias("grams"))
-    got = {(r["left_id"], r["right_id"]) for r in similarity.similar_pairs(rows_, rows_, 0.35).collect()}
-    grams = [{("  " + w + " ")[i : i + 3] for i in range(len(w) + 1)} for w in words]
-    assert got == {(i, j) for i, a in enumerate(grams) for j, b in enumerate(grams) if len(a & b) / len(a | b) >= 0.35}
-
-
 def test_feeds(spark, tmp_path):
     item = "<item><title>{}</title><link>{}</link><pubDate>{}</pubDate><description>&lt;b&gt;text&lt;/b&gt; here</description><source url='u'>{}</source></item>"
     body = "".join(item.format(*x) for x in [("One - Daily", "http://a.example/1", "Wed, 12 Aug 2026 10:00:00 GMT", "Daily"), ("Two - Other", "http://a.example/2", "bad date", "Daily"), ("One again", "http://a.example/1", "Tue, 11 Aug 2026 10:00:00 +0700", "Daily")])
