@@ -6,13 +6,14 @@ them, read with the sample word lists. The Thai lists are held against hand-made
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions import text as X
-from newsgraph.operators import attach, cluster, enrich, ingest_batch, match, rows, similarity
+from newsgraph.operators import attach, cluster, enrich, ingest_batch, match, rows, similarity, within
 from newsgraph.operators import entities as E
 from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
@@ -191,6 +192,20 @@ def j7_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.first_match(candidates, reports, reports)
 
 
+# The same decision over all parts within the follow-up window, six hours a part, whatever their brand.
+_WINDOW_ROWS = re.sub(r"b\.place - a\.place AS rank, (.*?) FROM \(SELECT.*?a\.place \+ 3\)", r"0 AS rank, \1 FROM f a JOIN f b ON a.id < b.id AND b.id - a.id <= 56)", _PART_ROWS, flags=re.DOTALL).replace("/ 24.0 AS days", "/ 4.0 AS days")
+
+
+@query(f"WITH {_WINDOW_ROWS} SELECT a_id, b_id FROM d WHERE same")
+def j8_matches_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts that tell of one event within 14 days, without a key that they must share."""
+    part = table(spark, sf_dir, "part")
+    at = F.timestamp_seconds(F.col("p_partkey") * 21_600)
+    toll = F.when(F.col("p_size") % 4 > 0, (F.col("p_size") % 4).cast("long"))
+    own = match.features(F.col("p_name"), E.regions(F.col("p_name"), SAMPLE), toll, F.lit(None).cast("long"), at, SAMPLE)
+    return within.matches_within(part.select(F.col("p_partkey").alias("id"), at.alias("published"), own.alias("features")))
+
+
 # Events as articles: a user's events are one story; k is the number in props.
 _K = "json_extract_string(props, '$.k')::INT"
 
@@ -330,9 +345,15 @@ def j6_story_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("left_id", "right_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PART_ROWS}, m AS MATERIALIZED (SELECT b_id AS l, a_id AS e, rank AS k FROM d WHERE same),
+s AS MATERIALIZED (SELECT p_brand, id, row_number() OVER (PARTITION BY p_brand ORDER BY id) AS place, (SELECT list(e ORDER BY k) FROM m WHERE l = id) AS near FROM r),
+w(p_brand, place, id, founders, story) AS (
+    SELECT p_brand, place, id, [id], id FROM s WHERE place = 1
+    UNION ALL SELECT s.p_brand, s.place, s.id, CASE WHEN len(list_intersect(s.near, w.founders)) > 0 THEN w.founders ELSE list_append(w.founders, s.id) END,
+        coalesce(list_filter(s.near, lambda x: list_contains(w.founders, x))[1], s.id) FROM w JOIN s ON s.p_brand = w.p_brand AND s.place = w.place + 1)
+SELECT id, story, id = story AS is_new FROM w""")
 def g9_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as reports in order of their keys, each with the three before it of its brand as matches; held against a plain loop in the tests."""
+    """Parts as reports in order of their keys, each with the three before it of its brand as matches."""
     reports, candidates = _part_pairs(spark, sf_dir)
     same = match.matching(candidates, reports, reports).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), F.lit(False).alias("stored"), "rank")
     return attach.attached(reports.select("id", F.col("id").alias("place")), materialize(same, "matches"))
