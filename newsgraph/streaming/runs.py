@@ -1,18 +1,23 @@
 """Runs over a folder of state: feed items in, stories and articles out, batch by batch.
 
-The folder holds three tables partitioned by batch: ``articles`` (rows added), ``stories`` (new and
-changed rows; the one of the largest batch holds) and ``runs``. A batch counts once its run is marked
-``ok``, which is written last, so one that broke off is run again as if it had never been, and one that
-is delivered twice changes nothing. One writer at a time: a run that is going on bars others for
-STALE_MINUTES; the mark is a file, so two that start in the same moment are not told apart.
+The folder holds tables partitioned by batch: ``articles``, ``facts`` and ``stories`` (new and changed rows;
+of an article, its facts or a story the row of the largest batch holds) and the claims of ``runs``. A batch
+counts once its run has ended ``ok``, which is settled last and in one step (``claims``), so readers never
+see half of one, a run that broke off is as if it had never been, and one that another run took over from
+commits nothing. ``compact`` writes the tables whole, and readers start from there.
+
+A delivery is known by its name, not by a number that may come again: a stream's is the name that lies in
+its checkpoint and the epoch. One that was taken in changes nothing when it comes twice; after a lost
+checkpoint all items come again under another name, and only new addresses add anything.
 
 Edge cases: items without title, link or date are left out; an empty batch is a run with zeros; a
-folder without state is an empty one.
+folder without state is an empty one; reprocessing without stale facts is a run with zeros.
 """
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,43 +25,46 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsgraph.functions import text as X
 from newsgraph.lexicon import THAI
-from newsgraph.operators import attach, enrich, ingest_batch, match, rows, similarity
+from newsgraph.operators import attach, enrich, facts, ingest_batch, match, merge, rows, similarity
 from newsgraph.operators import entities as E
+from newsgraph.operators.casualties import VERSION
 from newsgraph.operators.classify import classify
 from newsgraph.sources.outlets import outlet_identity
+from newsgraph.streaming import claims
+from newsgraph.streaming.claims import Fenced, RunInProgress  # noqa: F401  (raised by runs)
 from newsgraph.tables import exists, materialize, spread
 
 # Similarity and number of candidates, minutes after which a run counts as broken off, items that a dry run shows.
 LEAST_SIMILAR, MOST_CANDIDATES, STALE_MINUTES, SHOWN = 0.35, 60, 20, 20
-RUN = "status string, started_at timestamp, finished_at timestamp, fetched long, passed long, new_stories long, merged long, skipped long, detail string"
-
-
-class RunInProgress(RuntimeError):
-    """Another run holds the folder."""
+FACTS = f"url string, title string, summary string, {facts.FACTS}"
 
 
 def read_runs(spark: SparkSession, state: str) -> DataFrame:
-    schema = f"{RUN}, batch long"
-    return spark.read.schema(schema).parquet(f"{state}/runs") if exists(spark, f"{state}/runs") else spark.createDataFrame([], schema)
+    return claims.runs(spark, f"{state}/runs")
 
 
-def _committed(spark: SparkSession, state: str, name: str, schema: str) -> DataFrame:
-    schema = f"{schema}, batch long"
+def _committed(spark: SparkSession, state: str, name: str, schema: str, key: str) -> DataFrame:
+    """Rows of the batches that count, from the last whole one on; of each key the latest."""
+    columns, schema = ingest_batch.names(schema), f"{schema}, batch long"
     if not exists(spark, f"{state}/{name}"):
-        return spark.createDataFrame([], schema)
-    done = read_runs(spark, state).filter("status = 'ok'").select("batch")
-    return spark.read.schema(schema).parquet(f"{state}/{name}").join(done, "batch", "left_semi")
+        return spark.createDataFrame([], schema).drop("batch")
+    done = read_runs(spark, state).filter("status = 'ok'")
+    base = done.filter("whole").agg(F.max("batch").alias("b")).first()["b"]  # one number
+    log = spark.read.schema(schema).parquet(f"{state}/{name}").filter(F.col("batch") >= (base or 0)).join(done.select("batch"), "batch", "left_semi")
+    return log.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("s.*")
 
 
 def read_articles(spark: SparkSession, state: str) -> DataFrame:
-    return _committed(spark, state, "articles", ingest_batch.ARTICLE).drop("batch")
+    return _committed(spark, state, "articles", ingest_batch.ARTICLE, "id")
 
 
 def read_stories(spark: SparkSession, state: str) -> DataFrame:
-    """Each story as its latest batch left it."""
-    columns = ingest_batch.names(ingest_batch.STORY)
-    log = _committed(spark, state, "stories", ingest_batch.STORY)
-    return log.groupBy("story_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("s.*")
+    return _committed(spark, state, "stories", ingest_batch.STORY, "story_id")
+
+
+def read_facts(spark: SparkSession, state: str) -> DataFrame:
+    """What was read of each article, with the version of the reader and the text that it read."""
+    return _committed(spark, state, "facts", FACTS, "url")
 
 
 def relevant(items: DataFrame) -> DataFrame:
@@ -95,13 +103,17 @@ def resolved(reports: DataFrame, stories: DataFrame) -> DataFrame:
     return found.filter("NOT is_new").select(place.alias("place"), F.when(stored, target).alias("story_id"), F.when(~stored, target).alias("joins"))
 
 
-def as_reports(passed: DataFrame) -> DataFrame:
-    """Items with their facts as reports; place is the rank by link."""
-    facts = enrich.article_facts(F.col("title"), F.col("summary"))
-    ranked = materialize(spread(passed).withColumn("f", facts).withColumn("o", outlet_identity(F.col("source"))), "run-items")
+def with_facts(items: DataFrame) -> DataFrame:
+    """Items with their facts ``f`` and outlet ``o``, written."""
+    read = enrich.article_facts(F.col("title"), F.col("summary"))
+    return materialize(spread(items).withColumn("f", read).withColumn("o", outlet_identity(F.col("source"))), "run-items")
+
+
+def as_reports(read: DataFrame) -> DataFrame:
+    """Items with facts as reports; place is the rank by link."""
     # A batch is what the feeds brought since the last run: its links are ranked in one task, without their texts.
-    order = ranked.select("link").withColumn("place", F.row_number().over(Window.orderBy("link")).cast("long"))
-    return ranked.join(order, "link").select(
+    order = read.select("link").withColumn("place", F.row_number().over(Window.orderBy("link")).cast("long"))
+    return read.join(order, "link").select(
         "place", E.story_title(F.col("title")).alias("norm_title"), "title_key", F.col("link").alias("url"), "title", F.col("o.key").alias("source_key"), "o.aggregator", "confidence", "published",
         "f.deaths", "f.injuries", "f.deaths_confidence", "f.injuries_confidence", F.col("f.casualty_scope").alias("scope"), "f.content_type", "f.extract_confidence", F.col("f.article_provinces").alias("provinces"),
     )
@@ -113,40 +125,82 @@ def dry_run(items: DataFrame) -> DataFrame:
     return shown.select("title", "link", "published", "source", "confidence", "reason", "f.deaths", "f.injuries", F.col("f.casualty_scope").alias("scope"))
 
 
-def _mark(spark: SparkSession, state: str, batch: int, status: str, started: datetime, counts: tuple = (0,) * 5, detail: str | None = None) -> None:
-    row = (status, started, None if status == "running" else datetime.now(UTC), *counts, detail)
-    spark.createDataFrame([row], RUN).coalesce(1).write.mode("overwrite").parquet(f"{state}/runs/batch={batch}")
-
-
-def run_batch(items: DataFrame, state: str, batch: int) -> None:
-    """Feed items into the state as batch number ``batch``; a batch that is done is left as it is."""
-    spark, started = items.sparkSession, datetime.now(UTC)
-    runs = read_runs(spark, state)
-    if not runs.filter((F.col("batch") == batch) & (F.col("status") == "ok")).isEmpty():
+def _run(spark: SparkSession, state: str, delivery: str, work: Callable[[int], dict]) -> None:
+    """``work`` under a claim: it writes the tables of its batch and returns what the end of the run says."""
+    folder = f"{state}/runs"
+    done = lambda: not read_runs(spark, state).filter((F.col("delivery") == delivery) & (F.col("status") == "ok")).isEmpty()
+    if done():
         return
-    going = (F.col("status") == "running") & (F.unix_micros(F.current_timestamp()) - F.unix_micros("started_at") <= STALE_MINUTES * 60_000_000)
-    if not runs.filter(going & (F.col("batch") != batch)).isEmpty():
-        raise RunInProgress(state)
-    _mark(spark, state, batch, "running", started)
+    batch = claims.begin(spark, folder, delivery, STALE_MINUTES)
     try:
+        if done():  # in the moment before the claim
+            return claims.end(spark, folder, batch, delivery, "repeated")
+        said = work(batch)
+    except Exception as error:
+        claims.end(spark, folder, batch, delivery, "error", fenced_ok=True, detail=str(error)[:2000])
+        raise
+    claims.end(spark, folder, batch, delivery, "ok", **said)
+
+
+def _write(state: str, batch: int, **tables: DataFrame) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{state}/{name}/batch={batch}")
+
+
+def run_batch(items: DataFrame, state: str, delivery: int | str) -> None:
+    """Feed items into the state under the name ``delivery``; one that is done is left as it is."""
+    spark = items.sparkSession
+
+    def work(batch: int) -> dict:
         stories, articles = read_stories(spark, state), read_articles(spark, state)
-        items = materialize(items, "run-fetched")
-        passed = materialize(relevant(items), "run-passed")
-        fresh = rows.new_rows(passed, articles.select(F.col("url").alias("link")), "link")
+        fetched = materialize(items, "run-fetched")
+        passed = materialize(relevant(fetched), "run-passed")
+        fresh = with_facts(rows.new_rows(passed, articles.select(F.col("url").alias("link")), "link"))
         reports = materialize(as_reports(fresh), "run-facts")
-        placed = reports.join(resolved(reports, stories), "place", "left")
-        got = ingest_batch.ingest(placed, stories, articles)
-        got.articles.write.mode("overwrite").parquet(f"{state}/articles/batch={batch}")
-        got.stories.write.mode("overwrite").parquet(f"{state}/stories/batch={batch}")
+        got = ingest_batch.ingest(reports.join(resolved(reports, stories), "place", "left"), stories, articles)
+        read = fresh.join(got.articles.select(F.col("url").alias("link")), "link", "left_semi").select(F.col("link").alias("url"), "title", "summary", "f.*")
+        _write(state, batch, articles=got.articles, stories=got.stories, facts=facts.typed(read, FACTS))
         tally = ingest_batch.tally(got.outcomes).first()
         n_passed = passed.count()
-        counts = (items.count(), n_passed, tally["new_stories"], tally["merged"], n_passed - tally["new_stories"] - tally["merged"])
-    except Exception as error:
-        _mark(spark, state, batch, "error", started, detail=str(error)[:2000])
-        raise
-    _mark(spark, state, batch, "ok", started, counts)
+        return {"fetched": fetched.count(), "passed": n_passed, "new_stories": tally["new_stories"], "merged": tally["merged"], "skipped": n_passed - tally["new_stories"] - tally["merged"]}
+
+    _run(spark, state, str(delivery), work)
 
 
 def run_stream(items: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
     """A stream of feed items into the state, one batch an epoch; ends when what has landed is through."""
-    return items.writeStream.foreachBatch(lambda batch, epoch: run_batch(batch, state, epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, name = items.sparkSession, f"{checkpoint}/newsgraph-delivery/name.txt"
+    claims.put_once(spark, name, uuid.uuid4().hex)
+    token = spark.read.text(name).first()["value"]
+    return items.writeStream.foreachBatch(lambda batch, epoch: run_batch(batch, state, f"{token}:{epoch}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reprocess(spark: SparkSession, state: str, version: int = VERSION, read: Callable[[Column, Column], Column] = enrich.article_facts) -> None:
+    """Read the articles again that a reader older than ``version`` read, and write back their facts and the sums of their stories.
+
+    What was settled by hand or locked stays. Run twice, the second run finds nothing to do.
+    """
+
+    def work(batch: int) -> dict:
+        articles, stories = read_articles(spark, state), read_stories(spark, state)
+        stale = materialize(read_facts(spark, state).filter(F.coalesce("extractor_version", F.lit(0)) < version), "stale-facts")
+        again = spread(stale.select("url", "title", "summary")).withColumn("f", read(F.col("title"), F.col("summary")))
+        again = materialize(facts.typed(again.select("url", "title", "summary", "f.*").withColumn("extractor_version", F.lit(version)), FACTS), "read-again")
+        changed = materialize(facts.replaced(articles, again), "changed-articles")
+        touched = changed.select("story_id").distinct()
+        after = articles.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+        sums = merge.rebuilt(stories.join(touched, "story_id", "left_semi"), after)
+        _write(state, batch, articles=changed, stories=sums, facts=again)
+        return {"fetched": stale.count(), "passed": changed.count()}
+
+    _run(spark, state, f"reprocess:{version}:{uuid.uuid4().hex}", work)
+
+
+def compact(spark: SparkSession, state: str) -> None:
+    """Write the tables whole, so that readers need no earlier batch; what these hold may then go."""
+
+    def work(batch: int) -> dict:
+        _write(state, batch, articles=read_articles(spark, state), stories=read_stories(spark, state), facts=read_facts(spark, state))
+        return {"whole": True}
+
+    _run(spark, state, f"compact:{uuid.uuid4().hex}", work)
