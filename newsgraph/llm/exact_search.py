@@ -5,7 +5,8 @@ their strongest term and cut into ranges of ``BLOCK_ROWS``; each range has, per
 and smallest weight and a forward index (its weight matrix). For every query the ranges are taken
 in the order of their bounds, the sum over terms of what the range could contribute at most, and
 scored whole, until the next bound falls below the query's k-th score (an equal bound may still
-hold a smaller id, so it is scored).
+hold a smaller id, so it is scored). Every query starts with a first bound that all shards share: its
+k-th score among the ``FIRST_ROWS`` longest vectors, which no result can be below.
 
 Edge cases: rows with null ids or vectors or non-finite components take no part; a zero or empty
 vector does, with score 0; rows that share a vec_id are one another's own and never match; ties go
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.tables import materialize
-from newsgraph.llm.vectors import dealt, matrix, pairs, query_chunks, valid
+from newsgraph.llm.vectors import beside, dealt, matrix, query_chunks, valid
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 128
+FIRST_ROWS = 1024
 EXACT = 1 << 53
 # Below every score.
 NOTHING = -(1 << 62)
@@ -44,8 +46,9 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "ids": [ids[order].tobytes()], "weights": [weights[order].tobytes()]})
 
 
-def top_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores (queries, k) of a shard's best, by score then id; missing ones have id -1."""
+def top_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores (queries, k) of a shard's best, by score then id, of those that are not below the first bounds; missing ones have id -1."""
+    first = np.full(len(query_ids), NOTHING) if first is None else first
     n, cuts = len(query_ids), np.arange(0, len(ids), BLOCK_ROWS)
     if queries.size and weights.size and np.abs(queries).max() * np.abs(weights).max() * queries.shape[1] >= EXACT:
         queries, weights = queries.astype(np.int64), weights.astype(np.int64)
@@ -56,7 +59,7 @@ def top_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, we
     live = np.arange(n)
     for step in range(len(cuts)):
         at = order[live, step]
-        go = bounds[live, at] >= best[live, k - 1]
+        go = bounds[live, at] >= np.maximum(best[live, k - 1], first[live])
         live, at = live[go], at[go]
         if not len(live):
             break
@@ -73,26 +76,56 @@ def top_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, we
     return best_ids, best
 
 
+def _first_bounds(k: int, longest: np.ndarray, weights: np.ndarray):
+    """Adds to each chunk of queries its k-th scores among the longest vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bounds = []
+            for row in batch.itertuples(index=False):
+                query_ids = np.frombuffer(row.query_ids, np.int64)
+                queries = np.frombuffer(row.queries).reshape(len(query_ids), -1)
+                fits = len(longest) and queries.shape[1] == weights.shape[1]
+                bounds.append((top_of_shard(query_ids, queries, longest, weights, k)[1][:, -1] if fits else np.full(len(query_ids), NOTHING)).tobytes())
+            yield batch.assign(bounds=bounds)
+
+    return run
+
+
 def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = weights = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                query_ids, ids = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                queries, weights = np.frombuffer(row.queries).reshape(len(query_ids), -1), np.frombuffer(row.weights).reshape(len(ids), -1)
-                found, scores = top_of_shard(query_ids, queries, ids, weights, k)
+                if row.kind == 0:
+                    ids = np.frombuffer(row.ids, np.int64)
+                    weights = np.frombuffer(row.weights).reshape(len(ids), -1)
+                    continue
+                query_ids = np.frombuffer(row.query_ids, np.int64)
+                found, scores = top_of_shard(query_ids, np.frombuffer(row.queries).reshape(len(query_ids), -1), ids, weights, k, np.frombuffer(row.bounds, np.int64))
                 q, i = np.nonzero(scores > NOTHING)
                 yield pd.DataFrame({"query_id": query_ids[q], "vec_id": found[q, i], "score": scores[q, i]})
 
     return run
 
 
+def _longest(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and weights of the ``FIRST_ROWS`` longest vectors of the commonest length; they go to all tasks."""
+    size = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if size is None:
+        return np.empty(0, np.int64), np.empty((0, 0))
+    long = rows.filter(F.size("v") == size["dim"]).orderBy(F.desc(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), "vec_id").limit(FIRST_ROWS).collect()
+    return np.array([r["vec_id"] for r in long], np.int64), matrix([r["v"] for r in long])
+
+
 def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score`` over weights floor(scale * component)."""
     rows = valid(vectors, nonzero=False).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     rows = materialize(rows, "exact-rows")
     shards = dealt(rows, "shard", SHARD_ROWS).select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInPandas(_pack, "dim int, shard int, ids binary, weights binary")
     shards = materialize(shards, "exact-shards")
-    met = pairs(query_chunks(rows.filter(is_query)), shards).select("query_ids", "queries", "ids", "weights")
-    found = met.mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    chunks = query_chunks(rows.filter(is_query))
+    chunks = materialize(chunks.mapInPandas(_first_bounds(k, *_longest(rows)), "dim int, chunk int, query_ids binary, queries binary, bounds binary"), "exact-queries")
+    found = beside(chunks, shards).select("kind", "query_ids", "queries", "bounds", "ids", "weights").mapInPandas(_search(k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,15 +1,18 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node with its smallest ids, so thousands of copies neither fill neighbour
-lists nor hide other vectors. Distinct vectors are dealt into shards of ``SHARD_ROWS``, and of more
-where they would be over ``SHARDS``, so that the shards a query visits stay few; each shard gets a
+lists nor hide other vectors. Distinct vectors are dealt into shards by length, the shortest into
+the first, as graphs of vectors of much the same length find far more of the largest inner products;
+there are at least ``BANDS`` of them but for small tables. A shard has up to ``SHARD_ROWS`` vectors, and more
+where there would be over ``SHARDS``, so that the shards a query visits stay few, but never more than
+``MOST_ROWS`` or ``MOST_BYTES``; the beam widens with the square root of the rows. Each shard gets a
 graph whose level of a node is drawn geometrically from a hash of its id. Nodes are placed in steps
 of up to ``CHUNK``: on each of its levels a node searches the graph as it stands, adds its companions
 of the same step, links to diverse ones of those it found (a candidate closer to a kept neighbour
 than to the node is passed over), and they link back, each list thinned likewise when it is full.
 Lists are stored as flat arrays of ``2 * LINKS`` (bottom) or ``LINKS`` places.
 
-A search walks greedily down the levels and keeps a beam of ``BEAM`` on the bottom one, many queries
+A search walks greedily down the levels and keeps a beam of ``BEAM`` or more on the bottom one, many queries
 in step; results of shards are merged. Inner product is searched as nearness of vectors lengthened
 by one component to equal norm.
 
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.tables import materialize
-from newsgraph.llm.vectors import dealt, matrix, pairs, query_chunks, valid
+from newsgraph.llm.vectors import beside, matrix, query_chunks, valid
 
 SHARD_ROWS = 8192
-SHARDS, MOST_ROWS = 256, 131_072
+SHARDS, MOST_ROWS, MOST_BYTES = 256, 32_768, 64 << 20
+BANDS, BAND_ROWS = 4, 1024
 LINKS = 16
 CANDIDATES = 64
 BEAM = 128
@@ -206,22 +210,42 @@ def _unpack(sizes: list[int], links: bytes) -> list[np.ndarray]:
     return out
 
 
+def beam_of(rows: int) -> int:
+    """Wider in larger graphs."""
+    return max(BEAM, int(np.ceil(BEAM * np.sqrt(rows / SHARD_ROWS))))
+
+
 def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = arrays = members = None
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if row.kind == 0:
+                    x, arrays, members = np.frombuffer(row.vectors).reshape(-1, row.dim), _unpack(list(row.sizes), row.links), row.members
+                    continue
                 query_ids = np.frombuffer(row.query_ids, np.int64)
-                queries, x = np.frombuffer(row.queries).reshape(len(query_ids), -1), np.frombuffer(row.vectors).reshape(-1, row.dim)
-                found, scores = search_graph(queries, x, _unpack(list(row.sizes), row.links))
+                found, scores = search_graph(np.frombuffer(row.queries).reshape(len(query_ids), -1), x, arrays, beam_of(len(x)))
                 out = []
                 for q, (places, values) in enumerate(zip(found[:, : k + 1].tolist(), scores[:, : k + 1].tolist(), strict=True)):
-                    hits = [(-s, m) for p, s in zip(places, values, strict=True) if p >= 0 for m in row.members[p] if m != query_ids[q]]
+                    hits = [(-s, m) for p, s in zip(places, values, strict=True) if p >= 0 for m in members[p] if m != query_ids[q]]
                     out += [(query_ids[q], m, -s) for s, m in sorted(hits)[:k]]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
+def _dealt(nodes: DataFrame, rows: int) -> DataFrame:
+    """Nodes with ``dim`` and their shard: by length between 63 cuts that halve the table six times over; equal lengths are spread evenly."""
+    sized = nodes.withColumn("dim", F.size("v")).withColumn("_long", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    cuts = F.percentile_approx("_long", [i / 64 for i in range(1, 64)], 10_000).alias("_cuts")
+    fit = F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(MOST_BYTES / 8 / F.greatest("dim", F.lit(1)))))
+    parts = F.greatest(F.ceil(F.count("*") / fit), F.least(F.lit(BANDS), F.ceil(F.count("*") / BAND_ROWS))).cast("int").alias("_parts")
+    known = sized.join(sized.groupBy("dim").agg(cuts, parts), "dim")
+    below, upto = F.size(F.filter("_cuts", lambda c: c < F.col("_long"))), F.size(F.filter("_cuts", lambda c: c <= F.col("_long")))
+    chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / float(1 << 20)
+    return known.withColumn("shard", F.floor((below + chance * (upto - below + 1)) / 64 * F.col("_parts")).cast("int")).drop("_long", "_cuts", "_parts")
+
+
 def build(vectors: DataFrame, k: int = 20) -> DataFrame:
     """The index: one row per shard with vectors, flat neighbour arrays and the ids of each node (its k + 1 smallest, no more can be among k)."""
     rows = valid(vectors, nonzero=True).distinct()
@@ -232,7 +256,7 @@ def build(vectors: DataFrame, k: int = 20) -> DataFrame:
     nodes = final.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("vec_id", F.col("members")[0])
     nodes = materialize(nodes, "graph-nodes")
     rows = min(MOST_ROWS, max(SHARD_ROWS, -(-(total := nodes.count()) // SHARDS)))
-    nodes = dealt(nodes, "shard", rows).select("dim", "shard", "vec_id", "v", "members")
+    nodes = _dealt(nodes, rows).select("dim", "shard", "vec_id", "v", "members")
     # More parts than graphs, so that few tasks have two to build.
     shards = nodes.repartition(min(4 * -(-total // rows) + 1, 20_000), "dim", "shard").groupBy("dim", "shard").applyInPandas(_pack, "dim int, shard int, vectors binary, sizes array<int>, links binary, members array<array<long>>")
     return materialize(shards, "graph-shards")
@@ -242,6 +266,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: the k nearest found of every row that ``is_query`` admits."""
     shards = build(vectors, k)
     chunks = query_chunks(valid(vectors, nonzero=True).distinct().filter(is_query))
-    found = pairs(chunks, shards).drop("shard", "chunk").mapInPandas(_search(k), "query_id long, vec_id long, score double")
+    found = beside(materialize(chunks, "graph-queries"), shards).drop("shard", "chunk", "sending").mapInPandas(_search(k), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

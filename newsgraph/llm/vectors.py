@@ -1,7 +1,7 @@
 """What the vector searches share: shards of candidates, chunks of queries, and their pairs.
 
 Candidates are dealt into shards of about ``rows`` vectors and queries into chunks, each packed into
-one row of flat arrays, so a task holds one shard and one chunk at a time whatever the table's size.
+one row of flat arrays; a task holds one shard while the chunks pass by, whatever the table's size.
 Vectors of unequal length have no inner product and never meet: the length is part of every key.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUERY_ROWS = 512
+# Chunks of queries that one sending of a shard serves.
+CHUNKS_A_SENDING = 32
 
 
 def valid(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -45,8 +47,17 @@ def query_chunks(queries: DataFrame) -> DataFrame:
     return chunks.groupBy("dim", "chunk").applyInPandas(pack, "dim int, chunk int, query_ids binary, queries binary")
 
 
-def pairs(chunks: DataFrame, shards: DataFrame) -> DataFrame:
-    """Every chunk of queries beside every shard of its length: blocks against blocks, not rows."""
+def beside(chunks: DataFrame, shards: DataFrame) -> DataFrame:
+    """Every shard, followed by the chunks of queries of its length: blocks against blocks, not rows.
+
+    A task gets rows in this order: ``kind`` 0, a shard, then ``kind`` 1, the chunks that it is to serve; columns
+    of the other kind are null. A shard is sent once for ``CHUNKS_A_SENDING`` chunks and held while they pass.
+    """
     counts = shards.groupBy("dim").agg(F.max("shard").alias("last"))
-    sent = chunks.join(counts, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    return sent.join(shards, ["dim", "shard"])
+    sent = chunks.withColumn("sending", F.floor(F.col("chunk") / CHUNKS_A_SENDING).cast("int")).join(counts, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    sendings = chunks.groupBy("dim").agg(F.floor(F.max("chunk") / CHUNKS_A_SENDING).cast("int").alias("last"))
+    held = shards.join(sendings, "dim").withColumn("sending", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    both = held.withColumn("kind", F.lit(0)).unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    # The number is given, as tasks are made by their work and not by the little data that they read.
+    tasks = held.select("dim", "shard", "sending").count()
+    return both.repartition(max(1, min(4 * tasks, 20_000)), "dim", "shard", "sending").sortWithinPartitions("dim", "shard", "sending", "kind", "chunk")

@@ -417,3 +417,30 @@ def test_training_order_encoder_equals_the_own_one():
     words, encode = bpe.vocabulary(PATH), training_order.encoder(PATH)
     for text in [*TEXTS, LONG, None]:
         assert encode(text).tolist() == [*np.frombuffer(words.encode(text or ""), "<u4").tolist(), 50256]
+
+
+def test_recall_on_vectors_of_unequal_length(spark):
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in graph_search.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    scores = x[::20] @ x.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    assert np.mean([len(got[20 * q] & set(b.tolist())) / 20 for q, b in enumerate(best)]) >= 0.95
+
+
+def test_a_first_bound_loses_no_result(spark, monkeypatch):
+    monkeypatch.setattr(exact_search, "SHARD_ROWS", 50)
+    monkeypatch.setattr(exact_search, "FIRST_ROWS", 8)
+    draw = np.random.default_rng(6)
+    x = draw.integers(-3, 4, (400, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / 256)] + [(1000 + i, [0.01] * 3) for i in range(7)] + [(2000, [])]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_search.exact_top_k(df, F.col("vec_id") % 10 == 0, k=5).collect()}
+    for q in range(0, 400, 10):
+        plain = sorted((-int(x[q] @ x[i]), i) for i in range(400) if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in plain]
+    assert [got[1000, n][0] for n in range(1, 6)] == [1001, 1002, 1003, 1004, 1005] and (2000, 1) not in got
