@@ -1,4 +1,9 @@
-"""Article facts to stories, by strength of evidence. A count that is null is unknown, never zero."""
+"""Article facts to stories, by strength of evidence. A count that is null is unknown, never zero.
+
+Edge cases: an outlet of unknown kind is primary; null outlets, kinds and array members count for nothing;
+null times are before all others; ties go to the larger count or the first name; repeated articles count
+once as outlets and as often as they stand elsewhere; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Reports over stories and articles: totals, regions, coverage, drift and accuracy."""
+"""Reports over stories and articles: totals, regions, coverage, drift and accuracy.
+
+Edge cases: a null count is unknown and adds nothing to a total; null and empty arrays name no region,
+a region named twice counts once; shares of nothing are null; empty tables give zeros where a report is
+one row, and no rows elsewhere; ties are settled by the name or key. Extra columns are ignored.
+"""
 
 from __future__ import annotations
 

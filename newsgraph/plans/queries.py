@@ -130,19 +130,27 @@ def x20_unwrapped_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.unwrapped_link(F.col("url"), "example.com", "ref").alias("link"))
 
 
-_HOST = "regexp_replace(lower(trim(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))), '^(www|m|news)\\.', '')"
-_KEY = "regexp_replace(CASE " + " ".join(f"WHEN ends_with({_HOST}, '{s}') THEN left({_HOST}, length({_HOST}) - {len(s)})" for s in outlets.SUFFIXES) + f" ELSE {_HOST} END, '[\\s._\\-]+', '', 'g')"
+# The given hosts all lie under example.com, .net or .org; without that part their own label tells them apart.
+_HOST = "lower(trim(coalesce(replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.example', ''), '')))"
+_ALIASES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in outlets.ALIASES.items()) + "}"
+_LABEL = f"regexp_extract(regexp_replace({_HOST}, '^www\\.', ''), '([^.]+)(?:\\.+(?:{'|'.join(outlets.LABELS)}))*\\.*$', 1)"
+_NAMED = f"CASE WHEN regexp_matches({_HOST}, '^[a-z0-9][a-z0-9.-]*\\.[a-z]{{2,}}$') THEN coalesce({_ALIASES}[{_LABEL}], {_LABEL}) ELSE regexp_replace({_HOST}, '[\\s.\\-_\\x27\\x22()]+', '', 'g') END"
+_KEY = f"CASE WHEN {_HOST} = '' THEN 'unknown' ELSE coalesce({_ALIASES}[{_HOST}], {_NAMED}) END"
+
+
+def _outlet(url: str) -> Column:
+    return outlets.outlet_identity(F.replace(F.try_parse_url(url, F.lit("HOST")), F.lit(".example"), F.lit("")))["key"]
 
 
 @query(f"SELECT page_id, {_KEY} AS outlet FROM pages")
 def x18_outlet_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", outlets.outlet_key(F.try_parse_url("url", F.lit("HOST"))).alias("outlet"))
+    return table(spark, sf_dir, "pages").select("page_id", _outlet("url").alias("outlet"))
 
 
 @query(f"""SELECT page_id % 20 AS story_id, greatest(count(DISTINCT CASE WHEN page_id % 5 <> 0 THEN {_KEY} END), 1)::BIGINT AS source_count FROM pages GROUP BY 1""")
 def a1_source_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    articles = pages.select((F.col("page_id") % 20).alias("story_id"), outlets.outlet_key(F.try_parse_url("url", F.lit("HOST"))).alias("source_key"), (F.col("page_id") % 5 == 0).alias("aggregator"))
+    articles = pages.select((F.col("page_id") % 20).alias("story_id"), _outlet("url").alias("source_key"), (F.col("page_id") % 5 == 0).alias("aggregator"))
     return rollup.source_counts(articles)
 
 
@@ -414,12 +422,13 @@ def t9_first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.min_by(F.when(F.trim("text") != "", F.col("text")), F.when(F.trim("text") != "", F.col("turn"))).alias("snippet"))
 
 
-@query("""WITH u AS (SELECT o_custkey AS link, 0 AS priority, o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_orderstatus <> 'O')
-SELECT link::BIGINT AS link, priority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY priority, o_orderkey) AS r FROM u) WHERE r = 1""")
+@query("""WITH u AS (SELECT o_custkey AS link, 0 AS priority, o_orderdate AS published, o_orderkey AS title FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 1, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus <> 'O')
+SELECT link::BIGINT AS link, priority, title AS o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY priority, published DESC NULLS LAST, title) AS r FROM u) WHERE r = 1""")
 def s10_united(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("link"), "o_orderkey", "o_orderstatus")
-    both = o.filter("o_orderstatus = 'O'").withColumn("priority", F.lit(0)).unionByName(o.filter("o_orderstatus != 'O'").withColumn("priority", F.lit(1)))
-    return rows.first_wins(both, ["link"], F.col("priority"), F.col("o_orderkey")).select("link", "priority", "o_orderkey")
+    """Open orders as the first source, all others as the second; the customer is the link."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("link"), F.col("o_orderdate").alias("published"), F.col("o_orderkey").alias("title"), "o_orderstatus")
+    both = feeds.united(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus != 'O'"))
+    return both.select("link", "priority", F.col("title").alias("o_orderkey"))
 
 
 @query("SELECT event_id FROM events WHERE (SELECT max(epoch_us(ts)) FROM events) - epoch_us(ts) <= 10 * 86400000000")

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions import text as X
-from newsgraph.operators import attach, cluster, enrich, ingest_batch, match, rows, similarity, within
+from newsgraph.operators import attach, cluster, enrich, facts, ingest_batch, match, rows, similarity, within
 from newsgraph.operators import entities as E
 from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
 from newsgraph.sources import feeds
+from newsgraph.streaming import ingest
 from newsgraph.tables import materialize, table, table_path
 
 # SQL of the word-list functions, written out of the same lists.
@@ -389,6 +390,62 @@ def w2_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_batch.ingest(typed(batch, ingest_batch.REPORT), typed(stories, ingest_batch.STORY), typed(articles, ingest_batch.ARTICLE)).outcomes
 
 
+def _sql_best(count: str, confidence: str) -> str:
+    """Best value of a story over the told rows t."""
+    return f"""(SELECT story_id, arg_max({{'v': {count}, 'c': c, 'llm': llm}}, (coalesce(c, -1), outlets, latest, {count})) AS b FROM (
+        SELECT story_id, {count}, max({confidence}) AS c, count(DISTINCT event_type) AS outlets, max(ts) AS latest, bool_or(llm) AS llm FROM t WHERE {count} IS NOT NULL AND (event_type <> 'view' OR story_id NOT IN (SELECT story_id FROM t WHERE event_type <> 'view')) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH e AS (SELECT user_id AS story_id, event_type, ts, {_K} AS k, CASE WHEN event_type <> 'error' THEN floor(abs(value))::BIGINT END + CASE WHEN {_K} % 3 = 1 THEN 1 ELSE 0 END AS deaths, {_K}::BIGINT % 5 AS injuries, ({_K} / 100.0)::FLOAT AS c, {_K} % 4 = 0 AS llm,
+    CASE WHEN {_K} % 11 = 0 THEN 'campaign' WHEN {_K} % 2 = 0 THEN 'news' END AS content_type FROM events),
+t AS (SELECT * FROM e WHERE k % 7 > 0 AND k % 13 > 0 AND coalesce(content_type, '') <> 'campaign'),
+n AS (SELECT story_id, content_type FROM (SELECT story_id, content_type, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, content_type) AS r FROM e WHERE content_type IS NOT NULL GROUP BY 1, 2) WHERE r = 1),
+p AS (SELECT story_id, string_agg(DISTINCT 'p' || (k % 4), ',' ORDER BY 'p' || (k % 4)) AS provinces FROM e GROUP BY 1)
+SELECT p.story_id, d.b.v AS deaths, round(d.b.c::DOUBLE, 6) AS deaths_confidence, CASE WHEN d.b.v IS NULL THEN NULL WHEN d.b.llm THEN 'llm' ELSE 'regex' END AS deaths_source, i.b.v AS injuries, n.content_type, p.provinces
+FROM p LEFT JOIN {_sql_best('deaths', 'c')} d USING (story_id) LEFT JOIN {_sql_best('injuries', '0.5::FLOAT')} i USING (story_id) LEFT JOIN n USING (story_id) WHERE p.story_id % 10 > 0""")
+def w5_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as articles of their users' stories: facts for all, then others for two thirds of them; stories summed up from what changed."""
+    k, col = F.get_json_object("props", "$.k").cast("int"), F.col
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), col("event_id").cast("string")).alias("url"), col("user_id").alias("story_id"), col("event_type").alias("source_key"), (col("event_type") == "view").alias("aggregator"), col("ts").cast("timestamp").alias("published"),
+        k.alias("k"), F.when(col("event_type") != "error", F.floor(F.abs("value"))).alias("value"),
+    )
+    e = materialize(e, "upsert-events")
+
+    def told(place: int, more: int) -> DataFrame:
+        text = lambda c: c.cast("string")
+        found = F.struct(
+            F.coalesce(text(col("value") + more), F.lit("")).alias("deaths"), text(col("k") % 5).alias("injuries"), text(col("k") / 100.0).alias("deaths_confidence"), F.lit("0.5").alias("injuries_confidence"),
+            F.when(col("k") % 7 == 0, "aggregate").alias("casualty_scope"), F.when(col("k") % 11 == 0, "campaign").when(col("k") % 2 == 0, "news").alias("content_type"), F.when(col("k") % 13 == 0, "low").alias("extract_confidence"),
+            F.array(F.concat(F.lit("p"), text(col("k") % 4))).alias("article_provinces"), F.when(col("k") % 4 == 0, "llm").alias("extractor"),
+        )
+        return e.select("url", F.lit(place).alias("place"), F.to_json(found).alias("facts"))
+
+    articles = e.select("url", "story_id", "source_key", "aggregator", "published", *[F.lit(facts.DEFAULTS.get(n)).cast(t).alias(n) for n, t in facts.fields(facts.FACTS)])
+    nothing = "deaths long, injuries long, deaths_manual long, injuries_manual long, deaths_confidence float, injuries_confidence float, deaths_source string, injuries_source string, content_type string, provinces array<string>"
+    stories = e.select("story_id", (col("story_id") % 10 == 0).alias("casualties_locked")).distinct().select("*", *[F.lit(None).cast(t).alias(n) for n, t in facts.fields(nothing)])
+    first = facts.upserted(articles, stories, facts.evidence(articles), told(0, 1))
+    second = facts.upserted(first.articles, first.stories, first.evidence, told(1, 0).join(e.filter("k % 3 != 1").select("url"), "url"))
+    whole = first.stories.join(second.stories.select("story_id"), "story_id", "left_anti").unionByName(second.stories)
+    return whole.select("story_id", "deaths", F.round(col("deaths_confidence").cast("double"), 6).alias("deaths_confidence"), "deaths_source", "injuries", "content_type", _joined(col("provinces")).alias("provinces"))
+
+
+@query("""WITH g AS (SELECT user_id AS story_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 86400000000, true) AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY story_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS span FROM g)
+SELECT story_id, min(ts) AS first_published, max(ts) AS last_published, count(*) AS reports FROM s GROUP BY story_id, span""")
+def r4_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of reports of their users' stories, with a horizon of a day; a report years later lets time pass."""
+    landed, target = table_path(spark, "activity-landed"), table_path(spark, "activity")
+    reports = table(spark, sf_dir, "events").select(F.col("user_id").alias("story_id"), F.col("ts").cast("timestamp").alias("published"))
+    last = reports.agg(F.lit(-1).cast(dict(reports.dtypes)["story_id"]).alias("story_id"), (F.max("published") + F.expr("INTERVAL 1000 DAYS")).alias("published"))
+    for part in (reports, last):
+        part.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(reports.schema).parquet(landed)
+        ingest.record(ingest.activity(stream, "1 day", "1 hour"), target, f"{target}-checkpoint").awaitTermination()
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_published", "last_published")]
+    return ingest.recorded(spark, target).filter("story_id >= 0").select("story_id", *times, "reports")
+
+
 @query("SELECT url AS link, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS source, 'page ' || page_id AS summary FROM pages")
 def s1_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses written as RSS feeds and read back."""

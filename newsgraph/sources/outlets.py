@@ -1,15 +1,14 @@
-"""Outlet identity: many spellings of one outlet to one key."""
+"""Outlet identity: many spellings of one outlet to one key.
 
-from __future__ import annotations
+Edge cases: a null or empty source is ``unknown`` and no aggregator; a host of endings alone keeps its
+first one; names that differ in case, spaces and marks only are one outlet.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Endings that say nothing about the outlet, longest first where one ends another.
-SUFFIXES = (".co.th", ".or.th", ".go.th", ".ac.th", ".in.th", ".example.com", ".com", ".net", ".org", ".news", ".info", ".tv", ".th", ".io", ".co")
-
 # Names under which outlets appear, and those that publish others' reports again.
 ALIASES = {
     "ข่าวสด": "khaosod", "มติชนออนไลน์": "matichon", "มติชน": "matichon", "เดลินิวส์": "dailynews", "ไทยรัฐ": "thairath", "ไทยรัฐออนไลน์": "thairath",
@@ -36,14 +35,3 @@ def outlet_identity(source: Column, aliases: dict[str, str] | None = None, aggre
     key = F.when(low == "", F.lit("unknown")).otherwise(F.coalesce(F.try_element_at(table, low), named))
     return F.struct(key.alias("key"), key.isin(*aggregators).alias("aggregator"))
 
-
-def outlet_key(source: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Lower-cased name, a host reduced to its label, spelled without spaces and marks; aliases apply to the name and to the result."""
-    low = F.trim(F.lower(F.coalesce(source, F.lit(""))))
-    bare = F.regexp_replace(F.regexp_replace(low, r"^[a-z]+://", ""), r"^(www|m|news)\.|/.*$", "")
-    cut = reduce(lambda c, s: F.when(bare.endswith(s), F.left(bare, F.length(bare) - F.lit(len(s)))).otherwise(c), reversed(SUFFIXES), bare)
-    key = F.regexp_replace(cut, r"[\s._\-]+", "")
-    if not aliases:
-        return key
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, key), key)
