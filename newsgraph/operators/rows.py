@@ -49,6 +49,21 @@ def systematic_sample(df: DataFrame, size: int, *order: Column) -> DataFrame:
     return placed.filter((F.col("_place") % step == 0) & (F.col("_place") < step * size)).drop("_part", "_start", "_place")
 
 
+def following(df: DataFrame, key: str, order: str, name: str = "following") -> DataFrame:
+    """``key, order, name`` of each row: the next larger value of ``order`` (unique) within its key, null after the last one.
+
+    Rows lie in ranges of (key, order), so a key with very many rows is spread over tasks; only the first row of each
+    range and key is asked across their borders.
+    """
+    ranged = materialize(df.select(key, order).repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()), "following")
+    inside = F.lead(order).over(Window.partitionBy("_part", key).orderBy(order))
+    firsts = ranged.groupBy(key, "_part").agg(F.min(order).alias("_first"))
+    ahead = firsts.select(F.col(key).alias("_key"), F.col("_part").alias("_own"), F.lead("_first").over(Window.partitionBy(key).orderBy("_part")).alias("_ahead"))
+    found = ranged.withColumn(name, inside)
+    last = found.join(ahead, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_own")))
+    return last.select(key, order, F.coalesce(name, "_ahead").alias(name))
+
+
 def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
     """The next page by key."""
     return df.filter(F.col(key) > last).orderBy(key).limit(size)

@@ -70,6 +70,17 @@ def change(before: Column, after: Column) -> Column:
     return F.when(before.eqNullSafe(after), "same").when(before.isNull(), "null->n").when(after.isNull(), "n->null").otherwise("n->n")
 
 
+def rule_histogram(readings: DataFrame, *rules: Column) -> DataFrame:
+    """How often each rule gave a count; readings without one add nothing."""
+    return readings.select(F.explode(F.array_compact(F.array(*rules))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def body_sources(bodies: DataFrame, via: Column, improved: Column) -> DataFrame:
+    """Where bodies came from: articles, those without a usable body under ``none``, and those of which the body added something."""
+    usable = via.isNotNull()
+    return bodies.groupBy(F.coalesce(via, F.lit("none")).alias("via")).agg(F.count("*").alias("n"), F.count_if(usable & F.coalesce(improved, F.lit(False))).alias("improved"))
+
+
 def accuracy(pairs: DataFrame, expected: Column, actual: Column, *by: Column) -> DataFrame:
     """Per stratum of the expected value: rows, exact share, mean absolute error (no answer counts as 0)."""
     stratum = F.when(expected.isNull(), "unknown").when(expected == 0, "zero").otherwise("positive")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from newsgraph.functions import text as X
 from newsgraph.lexicon import SAMPLE
 from newsgraph.operators import classify as C
-from newsgraph.operators import cluster, match, rollup, rows, similarity, views
-from newsgraph.operators.casualties import read_casualties
+from newsgraph.operators import cluster, match, reader, rollup, rows, similarity, views
+from newsgraph.operators.casualties import number_of_words, read_casualties
 from newsgraph.sources import feeds, outlets
 from newsgraph.tables import materialize, shared_dir, spread, table, table_path
 
@@ -219,8 +219,7 @@ def j6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x27_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of neighbours within a source; held against plain Python in the tests, as the SQL is quadratic in the length."""
     docs = table(spark, sf_dir, "documents")
-    follows = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    pairs = docs.select("doc_id", "source").withColumn("_next", follows).filter("_next IS NOT NULL").select("doc_id", "_next")
+    pairs = rows.following(docs, "source", "doc_id", "_next").filter("_next IS NOT NULL").select("doc_id", "_next")
     second = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("_next"), F.col("text").alias("b"))
     both = pairs.join(docs.select("doc_id", F.col("text").alias("a")), "doc_id").join(second, "_next")
     return both.select("doc_id", F.round(similarity.dice_of_long(F.col("a"), F.col("b")), 6).alias("dice"))
@@ -445,9 +444,38 @@ def x33_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", views.freshness(F.col("ts"), F.lit(now)).alias("state"))
 
 
-@query("SELECT event_id, event_type, ts FROM events WHERE event_type = 'purchase' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 1")
+# Events as runs: purchases went well, every third has no end.
+_RUNS = "r AS (SELECT event_id, ts, CASE WHEN event_id % 3 > 0 THEN ts END AS finished FROM events WHERE event_type = 'purchase')"
+
+
+def _reader(spark: SparkSession, sf_dir: str) -> reader.Reader:
+    """Customers as stories of their orders, events as runs."""
+    e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    ts = F.col("ts").cast("timestamp")
+    runs = e.select(F.col("event_id").alias("batch"), F.when(F.col("event_type") == "purchase", "ok").otherwise("error").alias("status"), ts.alias("started_at"), F.when(F.col("event_id") % 3 > 0, ts).alias("finished_at"), F.lit(0).alias("fetched"), F.lit(0).alias("new_stories"))
+    articles = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("story_id"), F.col("o_orderdate").alias("published"))
+    last = articles.groupBy("story_id").agg(F.max("published").alias("last_published"))
+    stories = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("story_id"), F.col("c_name").alias("display_title")).join(last, "story_id", "left")
+    return reader.Reader(stories, articles, runs)
+
+
+@query(f"WITH {_RUNS} SELECT event_id, coalesce(finished, ts) AS finished_at FROM r ORDER BY finished DESC NULLS LAST, event_id DESC LIMIT 1")
 def s16_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", "event_type", "ts").orderBy(F.desc_nulls_last("ts"), F.desc("event_id")).limit(1)
+    return _reader(spark, sf_dir).last_run().select(F.col("batch").alias("event_id"), F.col("at").cast("timestamp_ntz").alias("finished_at"))
+
+
+@query(f"""WITH {_RUNS}, l AS (SELECT coalesce(finished, ts) AS done FROM r ORDER BY finished DESC NULLS LAST, event_id DESC LIMIT 1), m AS (SELECT max(ts) AS now FROM events)
+SELECT done AS finished_at, CASE WHEN (epoch_us(now) - epoch_us(done)) / 60000000.0 <= 45 THEN 'fresh' WHEN (epoch_us(now) - epoch_us(done)) / 60000000.0 <= 180 THEN 'late' ELSE 'stale' END AS state FROM l, m""")
+def r8_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fresh the last run that went well is, at the time of the last event."""
+    now = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("m")).first()["m"]
+    return _reader(spark, sf_dir).freshness(F.lit(now)).select(F.col("at").cast("timestamp_ntz").alias("finished_at"), "state")
+
+
+@query("""SELECT c_custkey AS story_id, c_name AS display_title, max(o_orderdate) AS last_published FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2
+ORDER BY last_published DESC NULLS LAST, story_id DESC LIMIT 100""")
+def s14_latest_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reader(spark, sf_dir).latest()
 
 
 @query(f"""
@@ -497,7 +525,8 @@ def g1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CASE WHEN b IS NULL THEN 'unknown' WHEN list_has_any(a, b) THEN 'agree' ELSE 'conflict' END AS agreement FROM t""")
 def g2_region_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split("p_type", " ").alias("a"))
-    p = p.withColumn("b", F.lead("a").over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    pairs = rows.following(p, "p_brand", "p_partkey").select("p_partkey", "following")
+    p = pairs.join(p.select("p_partkey", "a"), "p_partkey").join(p.select(F.col("p_partkey").alias("following"), F.col("a").alias("b")), "following", "left")
     return p.select("p_partkey", match.region_agreement(F.col("a"), F.col("b")).alias("agreement"))
 
 
@@ -537,3 +566,23 @@ def k15_casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
     headline = F.concat(F.lit("เมาขับชนดับ "), count(F.floor(F.abs("value"))), F.lit(" ราย เจ็บ "), count(F.col("event_id") % 50), F.lit(" คน"))
     read = spread(table(spark, sf_dir, "events").select("event_id", headline.alias("title"))).select("event_id", read_casualties(F.col("title")).alias("r"))
     return read.select("event_id", F.col("r.deaths.value").alias("deaths"), F.col("r.injuries.value").alias("injuries"), F.col("r.deaths.rule").alias("rule"))
+
+
+@query("SELECT rule, count(*) AS n FROM (SELECT unnest(['D1', 'I1']) AS rule FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def a14_rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules by which the numbers of the events, written as headlines, were read."""
+    count = lambda c: c.cast("long").cast("string")
+    headline = F.concat(F.lit("เมาขับชนดับ "), count(F.floor(F.abs("value"))), F.lit(" ราย เจ็บ "), count(F.col("event_id") % 50), F.lit(" คน"))
+    read = spread(table(spark, sf_dir, "events").select(headline.alias("title"))).select(read_casualties(F.col("title")).alias("r"))
+    return views.rule_histogram(read, F.col("r.deaths.rule"), F.col("r.injuries.rule"))
+
+
+@query("SELECT event_id, nullif(json_extract_string(props, '$.k')::BIGINT, 0) AS value FROM events")
+def x3_number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the events written in words and read back; zero alone is no number."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    digit = lambda n: F.element_at(F.array(*[F.lit(w) for w in ("", "หนึ่ง", "สอง", "สาม", "สี่", "ห้า", "หก", "เจ็ด", "แปด", "เก้า")]), n + 1)
+    tens, ones = F.floor(k / 10).cast("int"), k % 10
+    ten = F.when(tens == 0, "").when(tens == 1, "สิบ").when(tens == 2, "ยี่สิบ").otherwise(F.concat(digit(tens), F.lit("สิบ")))
+    words = F.when(k == 0, "ศูนย์").otherwise(F.concat(ten, F.when((tens > 0) & (ones == 1), "เอ็ด").otherwise(digit(ones))))
+    return table(spark, sf_dir, "events").select("event_id", number_of_words(words).alias("value"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions import text as X
-from newsgraph.operators import attach, cluster, enrich, facts, ingest_batch, match, rows, similarity, within
+from newsgraph.operators import attach, cluster, enrich, facts, ingest_batch, match, rows, similarity, views, within
 from newsgraph.operators import entities as E
 from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
@@ -144,8 +144,10 @@ s AS (SELECT doc_id, list_filter(a, lambda x: list_contains(list_transform(b, la
 SELECT doc_id, round(coalesce(list_sum(list_transform(shared, lambda x: x.w)), 0.0), 2) AS score, len(list_filter(shared, lambda x: x.r))::BIGINT AS rare FROM s""")
 def g5_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the next one of its source."""
-    pairs = _with_entities(spark, sf_dir).withColumn("next", F.lead("entities").over(Window.partitionBy("source").orderBy("doc_id"))).filter("next IS NOT NULL")
-    return pairs.withColumn("o", match.entity_overlap(F.col("entities"), F.col("next"))).select("doc_id", "o.score", F.col("o.rare").cast("long").alias("rare"))
+    e = materialize(_with_entities(spark, sf_dir), "entities")
+    pairs = rows.following(e, "source", "doc_id").filter("following IS NOT NULL").select("doc_id", "following")
+    both = pairs.join(e.select("doc_id", "entities"), "doc_id").join(e.select(F.col("doc_id").alias("following"), F.col("entities").alias("next")), "following")
+    return both.withColumn("o", match.entity_overlap(F.col("entities"), F.col("next"))).select("doc_id", "o.score", F.col("o.rare").cast("long").alias("rare"))
 
 
 # Part names as headlines; brands as sources, an hour a part.
@@ -314,7 +316,7 @@ def s15_story(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a17_body_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsgraph.plans.queries import x25_article_body
 
-    return x25_article_body(spark, sf_dir).groupBy(F.coalesce("via", F.lit("none")).alias("via")).agg(F.count("*").alias("n"), F.count_if(F.contains("body", F.lit("the"))).alias("improved"))
+    return views.body_sources(x25_article_body(spark, sf_dir), F.col("via"), F.contains("body", F.lit("the")))
 
 
 @query("SELECT o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1")

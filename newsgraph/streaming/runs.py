@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsgraph.functions import text as X
 from newsgraph.lexicon import THAI
-from newsgraph.operators import attach, enrich, facts, ingest_batch, match, merge, rows, similarity
+from newsgraph.operators import attach, enrich, facts, ingest_batch, match, merge, reader, rows, similarity
 from newsgraph.operators import entities as E
 from newsgraph.operators.casualties import VERSION
 from newsgraph.operators.classify import classify
@@ -204,3 +204,22 @@ def compact(spark: SparkSession, state: str) -> None:
         return {"whole": True}
 
     _run(spark, state, f"compact:{uuid.uuid4().hex}", work)
+
+
+def merge_duplicates(spark: SparkSession, state: str, commit: bool = False) -> DataFrame:
+    """The groups of stories that tell of one event (``merge``); with ``commit`` they are folded, and the tables written whole."""
+    found = merge.merged(read_stories(spark, state), read_articles(spark, state))
+    groups = materialize(found.groups, "merge-groups")
+
+    def work(batch: int) -> dict:
+        kept = read_facts(spark, state).join(found.articles.select("url"), "url", "left_semi")
+        _write(state, batch, articles=found.articles, stories=found.stories, facts=kept)
+        return {"whole": True, "merged": groups.filter("id != parent").count()}
+
+    if commit and not groups.isEmpty():
+        _run(spark, state, f"merge:{uuid.uuid4().hex}", work)
+    return groups
+
+
+def open_reader(spark: SparkSession, state: str) -> reader.Reader:
+    return reader.Reader(read_stories(spark, state), read_articles(spark, state), read_runs(spark, state))

@@ -36,11 +36,16 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _entry(path: str) -> str:
+    """Name in the catalog of the bucketed table in this folder."""
+    return f"newsgraph_{path.rpartition('/')[2].replace('-', '_')}"
+
+
 def materialize_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     """``materialize`` into so many buckets by ``key``, without a shuffle: a join on ``key`` then moves the other side only."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    table_name = f"newsgraph_{path.rpartition('/')[2].replace('-', '_')}"
+    table_name = _entry(path)
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table_name)
     return spark.table(table_name)
 
@@ -58,9 +63,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete an intermediate table once nothing reads it any more."""
+    """Delete an intermediate table once nothing reads it any more, and its entry in the catalog if it has one."""
     jvm = spark.sparkContext._jvm
     for folder in sorted({f.rpartition("/")[0] for f in df.inputFiles()}):
+        spark.sql(f"DROP TABLE IF EXISTS `{_entry(folder)}`")
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

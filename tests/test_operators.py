@@ -177,6 +177,22 @@ def test_components_with_a_hub(spark, monkeypatch):
     assert got == {**{i: 7 for i in [*range(7, 300), 500]}, **{i: 300 for i in range(300, 331)}, 1000: 1000, 1001: 1000}
 
 
+def test_following_over_ranges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        given = [("hot" if i % 3 else None if i % 2 else "b", (i * 37) % 401) for i in range(401)] + [("one", 1000)]
+        got = {(r["k"], r["n"]): r["following"] for r in rows.following(spark.createDataFrame(given, "k string, n long"), "k", "n").collect()}
+        by = {}
+        for k, n in given:
+            by.setdefault(k, []).append(n)
+        assert got == {(k, n): m for k, ns in by.items() for n, m in zip(sorted(ns), [*sorted(ns)[1:], None], strict=True)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_feeds(spark, tmp_path):
     item = "<item><title>{}</title><link>{}</link><pubDate>{}</pubDate><description>&lt;b&gt;text&lt;/b&gt; here</description><source url='u'>{}</source></item>"
     body = "".join(item.format(*x) for x in [("One - Daily", "http://a.example/1", "Wed, 12 Aug 2026 10:00:00 GMT", "Daily"), ("Two - Other", "http://a.example/2", "bad date", "Daily"), ("One again", "http://a.example/1", "Tue, 11 Aug 2026 10:00:00 +0700", "Daily")])
