@@ -23,8 +23,18 @@ def test_stages(spark):
 def test_odd_documents(spark):
     rows = [(1, None, "en", "a", None), (2, "", "en", None, 0), (3, "one two three", "en", "a", 13), (3, "one two three", "en", "a", 13), (None, "x y", None, None, 3)]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, toxicity double")
-    for table in (docs, docs.limit(0)):
-        now = table
-        for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, "/root/testdata/sf0.001")
-        now.collect()
+    now = docs
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, "/root/testdata/sf0.001").cache()
+        left[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in now.select("doc_id").collect())
+    # Documents without text or words stay once in every stage, rows of one id stay together, and nothing else comes.
+    for name in left:
+        assert left[name].count((False, 1)) == left[name].count((False, 2)) == 1, name
+    for name in ("toxicity", "near_duplicates", "pii"):
+        assert left[name].count((False, 3)) in (0, 2) and left[name].count((True, 0)) == 1, name
+    assert left["bpe"] == left["mixing"] and set(left["mixing"]) <= {(False, 1), (False, 2), (False, 3), (True, 0)} and len(left["mixing"]) <= 3 * len(rows)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "/root/testdata/sf0.001")
+    assert none.count() == 0
