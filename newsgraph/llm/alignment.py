@@ -18,12 +18,15 @@ Repeated rows and ids are documents of their own. Extra columns are dropped; an
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +35,18 @@ from newsgraph.llm.bpe import split_words, vocabulary
 from newsgraph.tables import materialize
 
 # Characters of text of a block of documents, and its largest number of documents.
-BLOCK_CHARS, BLOCK_DOCS = 8_000_000, 20_000
+BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 20_000
 # Characters that are encoded at once.
 RUN_CHARS = 500_000
+# Letters from which on a word is long.
+LONG_WORD = 1000
 # Memoised transitions and groups of a worker.
-MOST_STATES, MOST_TRANSITIONS, MOST_GROUPS = 100_000, 1_000_000, 300_000
+MOST_STATES, MOST_TRANSITIONS, MOST_GROUPS = 100_000, 1_000_000, 200_000
+# Runs of letters that side B remembers.
+MOST_RUNS = 300_000
 B_BITS = 20
 SPACE_SIGN = "▁"
+_RUNS = re.compile(" +[^ ]*")
 
 ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>, block_pairs array<long>, block_docs array<long>"
 
@@ -54,42 +62,53 @@ class Side:
 
 
 class ByteLevel(Side):
-    """A byte-level BPE file; special tokens in a text are plain text."""
+    """A byte-level BPE file; special tokens in a text are plain text.
+
+    A compiled encoder serves where ids go by rank; texts with very long words are encoded by our own, in n log n.
+    """
 
     def __init__(self, path: str):
-        self.words = vocabulary(path).words
-        super().__init__(vocabulary(path).token_bytes)
+        words = vocabulary(path)
+        super().__init__(words.token_bytes)
+        self.words, self.compiled = words.words, None
+        if words.result == sorted(words.result):
+            special = set(words.special.values())
+            ranks = {token: i for i, token in enumerate(words.token_bytes) if i not in special}
+            self.compiled = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, split_words(" " + t))), "<u4").tolist() for t in texts]
+        own = lambda t: np.frombuffer(b"".join(map(self.words.__getitem__, split_words(t))), "<u4").tolist()
+        return [self.compiled(" " + t) if self.compiled and max(map(len, t.split()), default=0) < LONG_WORD else own(" " + t) for t in texts]
 
 
 class Pieces(Side):
-    """A sentencepiece model, which puts the space before the text itself."""
+    """A sentencepiece model, which puts the space before the text itself.
+
+    Where no piece reaches from a letter over a space, a text is encoded run of spaces by run of spaces, each
+    with the letters after it, and runs met before are remembered up to a bound; otherwise as a whole.
+    """
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         plain = lambda i, name: bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace(SPACE_SIGN, " ").encode()
         super().__init__([plain(i, name) for i, name in enumerate(names)])
+        self.apart = not any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", name) for name in names) and SPACE_SIGN in names
+        self.runs: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
-
-
-class _Groups(dict):
-    """First pair of tokens of a group to whether the group ends with it."""
-
-    def __init__(self, a: Side, b: Side):
-        super().__init__()
-        self.a, self.b = a, b
-
-    def __missing__(self, pair: int) -> bool:
-        ends = self.a.token_bytes[pair >> B_BITS] == self.b.token_bytes[pair & ((1 << B_BITS) - 1)]
-        if len(self) >= MOST_TRANSITIONS:
-            self.clear()
-        self[pair] = ends
-        return ends
+        if not self.apart:
+            return self.model.encode(texts, num_threads=1) if texts else []
+        pieces = [_RUNS.findall(" " + t) for t in texts]
+        met = set().union(*pieces)
+        missing = met - self.runs.keys()
+        if len(self.runs) + len(missing) > MOST_RUNS:
+            self.runs.clear()
+            missing = met
+        missing = list(missing)
+        for run, ids in zip(missing, self.model.encode([r[1:] for r in missing], num_threads=1) if missing else [], strict=True):
+            self.runs[run] = np.array(ids if len(run) > 1 else [self.model.piece_to_id(SPACE_SIGN)], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(self.runs.__getitem__, p)), "<u4").tolist() for p in pieces]
 
 
 class Transducer:
@@ -97,7 +116,6 @@ class Transducer:
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.closes = _Groups(a, b)
         self._forget()
 
     def _forget(self) -> None:
@@ -105,6 +123,7 @@ class Transducer:
         self.number: dict[tuple[bool, bytes], int] = {}
         self.residue: dict[int, bytes] = {0: b""}
         self.next_of: dict[int, int] = {}
+        self.closed: set[int] = set()  # pairs that are a group
 
     def _state(self, a_leads: bool, residue: bytes) -> int:
         if not residue:
@@ -131,16 +150,16 @@ class Transducer:
 
     def align(self, a_ids: list[int], b_ids: list[int]) -> list[int | tuple[tuple[int, ...], ...]]:
         """The groups in order: a pair of ids as one number, or where there are more the ids of A, those of B and the links."""
-        if len(self.number) > MOST_STATES or len(self.next_of) > MOST_TRANSITIONS:
+        if len(self.number) > MOST_STATES or len(self.next_of) + len(self.closed) > MOST_TRANSITIONS:
             self._forget()
-        next_of, closes = self.next_of.get, self.closes
+        next_of, closed = self.next_of.get, self.closed
         groups: list = []
         add = groups.append
         a_rest, b_rest = iter(a_ids), iter(b_ids)
         while True:
             for a, b in zip(a_rest, b_rest, strict=False):
                 pair = a << B_BITS | b
-                if not closes[pair]:
+                if pair not in closed:
                     break
                 add(pair)
             else:
@@ -160,7 +179,9 @@ class Transducer:
                     b = token = next(b_rest)
                     of_b.append(token)
                 links.append(a << B_BITS | b)
-            add((tuple(of_a), tuple(of_b), tuple(links)))
+            if len(links) == 1:
+                closed.add(pair)
+            add((tuple(of_a), tuple(of_b), tuple(links)) if len(links) > 1 else pair)
 
 
 class Aligner:
@@ -206,10 +227,10 @@ class Aligner:
             times = Counter(groups)
             if len(self.texts) > MOST_GROUPS:
                 self.texts.clear(), self.links.clear()
-            for g in times.keys() - self.texts.keys():
-                self._meet(g)
             linked: dict[int, int] = {}
             for g, n in times.items():
+                if g not in self.texts:
+                    self._meet(g)
                 for pair in self.links[g]:
                     linked[pair] = linked.get(pair, 0) + n
             in_docs.update(linked.keys())

@@ -92,11 +92,17 @@ def test_alignment_equals_offsets(spark, libraries, monkeypatch):
         assert [got[i][c] for c in [*COLUMNS, "groups"]] == row, given[i]
 
 
+def test_runs_equal_whole_texts(libraries):
+    side = alignment.Pieces(PIECES)
+    given = [t for t in texts() if t] + [" ", "   ", "a ", " a  ", "\n \n", "a\u3000b \u00a0c", "e \u0301 \u0308x"]
+    assert side.apart and side.encode(given) == [libraries[1].encode(t) for t in given]
+
+
 def test_bounds_change_nothing(libraries, monkeypatch):
     given = [t for t in texts() if t and len(t) < 1000]
     aligner = alignment.Aligner(TOKENIZER, PIECES)
     whole = aligner.block(0, list(range(len(given))), given).to_pylist()
-    for name, value in (("MOST_STATES", 3), ("MOST_TRANSITIONS", 5), ("MOST_GROUPS", 2), ("RUN_CHARS", 300)):
+    for name, value in (("MOST_STATES", 3), ("MOST_TRANSITIONS", 5), ("MOST_GROUPS", 2), ("MOST_RUNS", 4), ("RUN_CHARS", 300)):
         monkeypatch.setattr(alignment, name, value)
     again = alignment.Aligner(TOKENIZER, PIECES).block(0, list(range(len(given))), given).to_pylist()
     key = lambda r: (r["doc_id"], r["groups"], sorted(zip(r["pairs"], r["times"], strict=True)), sorted(zip(r["block_pairs"] or [], r["block_docs"] or [], strict=True)))
