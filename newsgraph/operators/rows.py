@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgraph.tables import materialize
+from newsgraph.tables import by_shuffle, materialize
 
 
 def first_wins(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -60,7 +60,7 @@ def following(df: DataFrame, key: str, order: str, name: str = "following") -> D
     firsts = ranged.groupBy(key, "_part").agg(F.min(order).alias("_first"))
     ahead = firsts.select(F.col(key).alias("_key"), F.col("_part").alias("_own"), F.lead("_first").over(Window.partitionBy(key).orderBy("_part")).alias("_ahead"))
     found = ranged.withColumn(name, inside)
-    last = found.join(ahead, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_own")))
+    last = found.join(by_shuffle(ahead), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_own")))
     return last.select(key, order, F.coalesce(name, "_ahead").alias(name))
 
 

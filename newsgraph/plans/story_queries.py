@@ -19,7 +19,7 @@ from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
 from newsgraph.sources import feeds
 from newsgraph.streaming import ingest
-from newsgraph.tables import materialize, table, table_path
+from newsgraph.tables import by_shuffle, materialize, table, table_path
 
 # SQL of the word-list functions, written out of the same lists.
 
@@ -146,7 +146,7 @@ def g5_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the next one of its source."""
     e = materialize(_with_entities(spark, sf_dir), "entities")
     pairs = rows.following(e, "source", "doc_id").filter("following IS NOT NULL").select("doc_id", "following")
-    both = pairs.join(e.select("doc_id", "entities"), "doc_id").join(e.select(F.col("doc_id").alias("following"), F.col("entities").alias("next")), "following")
+    both = pairs.join(by_shuffle(e.select("doc_id", "entities")), "doc_id").join(by_shuffle(e.select(F.col("doc_id").alias("following"), F.col("entities").alias("next"))), "following")
     return both.withColumn("o", match.entity_overlap(F.col("entities"), F.col("next"))).select("doc_id", "o.score", F.col("o.rare").cast("long").alias("rare"))
 
 
@@ -185,7 +185,8 @@ def _part_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 @query(f"WITH {_PART_ROWS} SELECT a_id, b_id, same FROM d")
 def g6_same_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports, candidates = _part_pairs(spark, sf_dir)
-    pairs = candidates.join(reports.select(F.col("id").alias("left_id"), F.col("features").alias("a")), "left_id").join(reports.select(F.col("id").alias("right_id"), F.col("features").alias("b")), "right_id")
+    pairs = candidates.join(by_shuffle(reports.select(F.col("id").alias("left_id"), F.col("features").alias("a"))), "left_id")
+    pairs = pairs.join(by_shuffle(reports.select(F.col("id").alias("right_id"), F.col("features").alias("b"))), "right_id")
     return pairs.select(F.col("left_id").alias("a_id"), F.col("right_id").alias("b_id"), match.tell_same_event(F.col("a"), F.col("b")).alias("same"))
 
 

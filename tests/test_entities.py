@@ -76,3 +76,12 @@ def test_entities_are_unique(spark, words):
     df = spark.createDataFrame([("เก๋ง BMW ชน จยย. ที่ทองหล่อ ด.ช.สมชาย อายุ 14 ปี ตำรวจ", ["ตาก", "ตาก"], 2, 0), (None, None, None, None)], "t string, p array<string>, d int, i int")
     got = [[e["key"] for e in r["e"]] for r in df.select(E.entities(F.col("t"), F.col("p"), F.col("d"), F.col("i"), words).alias("e")).collect()]
     assert all(len(set(g)) == len(g) for g in got) and got[1] == [] and {"age:14", "province:ตาก", "deaths:2", "injuries:0"} <= set(got[0])
+
+
+def test_entities_and_features_are_not_sent_through_the_driver(spark):
+    """Lists that repeat are a small file and large in memory, so their joins are by shuffle at any size."""
+    from newsgraph.plans import story_queries
+
+    for query, rows in ((story_queries.g5_overlap, "ENTITIES"), (story_queries.j7_first_match, "FEATURES"), (story_queries.g6_same_event, "FEATURES")):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan, rows
