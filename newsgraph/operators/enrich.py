@@ -83,6 +83,11 @@ def checked_extraction(payload: Column, sent: Column, provinces: tuple[str, ...]
 
 def merged_facts(facts: Column, found: Column, payload: Column, live: bool, model: str) -> Column:
     """Facts with a checked extraction beside them; where it is live its counts, places and scope stand in for those read by rule."""
+    given = F.struct(facts.alias("facts"), found.alias("found"), payload.alias("payload"))
+    return _bound(given, lambda b: _merged(b["facts"], b["found"], b["payload"], live, model))
+
+
+def _merged(facts: Column, found: Column, payload: Column, live: bool, model: str) -> Column:
     noted = {"content_type": found["content_type"], "alcohol_involved": found["alcohol_involved"], "extractor_model": F.lit(model), "extract_confidence": found["confidence"], "payload": payload}
     if live:
         score = F.lit(OTHER_SCORE)

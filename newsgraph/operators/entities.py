@@ -146,7 +146,8 @@ def story_title(title: Column, words: Entities = THAI) -> Column:
 def regions(text: Column, words: Entities = THAI) -> Column:
     """Provinces that the text names, those of areas first, each once, under their full names."""
     named = [*words.areas.items(), *((p, words.common_names.get(p, p)) for p in words.provinces)]
-    return F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(p)) for t, p in named))))
+    found = lambda bound: F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(bound, F.lit(t)), F.lit(p)) for t, p in named))))
+    return F.transform(F.array(text), found)[0]
 
 
 def vehicles(title: Column, words: Entities = THAI) -> Column:

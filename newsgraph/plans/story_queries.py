@@ -19,7 +19,7 @@ from newsgraph.operators.entities import SAMPLE
 from newsgraph.plans.queries import ORACLE_SQL, query
 from newsgraph.sources import feeds
 from newsgraph.streaming import ingest
-from newsgraph.tables import by_shuffle, materialize, table, table_path
+from newsgraph.tables import by_shuffle, materialize, spread, table, table_path
 
 # SQL of the word-list functions, written out of the same lists.
 
@@ -293,7 +293,7 @@ def l2_checked_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l5_merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines of the events' values, with extractions that count where they hold."""
     headline = F.concat(F.lit("เมาขับชนดับ "), F.col("value").cast("string"), F.lit(" ราย"))
-    p = _payload(spark, sf_dir).filter("value >= 0").withColumn("x", enrich.checked_extraction(F.col("payload"), F.col("sent"), ("p1", "p2")))
+    p = spread(_payload(spark, sf_dir)).filter("value >= 0").withColumn("x", enrich.checked_extraction(F.col("payload"), F.col("sent"), ("p1", "p2")))
     p = p.withColumn("f", enrich.merged_facts(enrich.article_facts(headline), F.col("x"), F.col("payload"), True, "stored"))
     return p.select("id", "f.deaths", F.round(F.col("f.deaths_confidence").cast("double"), 4).alias("confidence"), F.col("f.casualty_scope").alias("scope"), "f.extractor")
 
