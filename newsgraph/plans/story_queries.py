@@ -203,7 +203,7 @@ _WINDOW_ROWS = re.sub(r"b\.place - a\.place AS rank, (.*?) FROM \(SELECT.*?a\.pl
 @query(f"WITH {_WINDOW_ROWS} SELECT a_id, b_id FROM d WHERE same")
 def j8_matches_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts that tell of one event within 14 days, without a key that they must share."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     at = F.timestamp_seconds(F.col("p_partkey") * 21_600)
     toll = F.when(F.col("p_size") % 4 > 0, (F.col("p_size") % 4).cast("long"))
     own = match.features(F.col("p_name"), E.regions(F.col("p_name"), SAMPLE), toll, F.lit(None).cast("long"), at, SAMPLE)

@@ -85,3 +85,16 @@ def test_entities_and_features_are_not_sent_through_the_driver(spark):
     for query, rows in ((story_queries.g5_overlap, "ENTITIES"), (story_queries.j7_first_match, "FEATURES"), (story_queries.g6_same_event, "FEATURES")):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan, rows
+
+
+def test_matching_numbers_letter_pairs_once_a_report(spark):
+    from newsgraph.functions import text as X
+
+    titles = ["aaaa aab", "AAaa", "a", "", None, "รถชนดับ ดับ", "a1a1a10", "banana bandana"]
+    pairs = spark.createDataFrame([(a, b) for a in titles for b in titles], "a string, b string")
+    new = X.dice_of_numbered(X.numbered_bigrams(F.col("a")), X.numbered_bigrams(F.col("b")), F.length("a"), F.length("b"))
+    assert pairs.filter(~new.eqNullSafe(X.dice(F.col("a"), F.col("b")))).count() == 0
+    reports = spark.range(2).select("id", match.features(F.lit("t"), F.array(F.lit("r")), F.lit(1).cast("long"), F.lit(1).cast("long"), F.lit("2024-01-01").cast("timestamp")).alias("features"))
+    plan = match.matching(spark.createDataFrame([(0, 1, 1)], "left_id long, right_id long, rank int"), reports, reports)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert "array_intersect" in plan and not any("substring" in line for line in filters)
