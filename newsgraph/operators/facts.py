@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsgraph.operators import rollup
-from newsgraph.tables import materialize
+from newsgraph.tables import by_rows, materialize
 
 # The fields of the facts of an article.
 FACTS = (
@@ -32,6 +32,8 @@ FACTS = (
 DEFAULTS = {"casualty_scope": "incident", "extractor": "regex", "extractor_version": 0}
 EVIDENCE = ["story_id", "kind", "value", "aggregator", "source_key", "confidence", "published", "llm"]
 COUNTS = ("deaths", "injuries")
+# Articles of which one task makes evidence.
+TASK_ROWS = 100_000
 
 
 def fields(schema: str) -> list[tuple[str, str]]:
@@ -137,9 +139,10 @@ def replaced(articles: DataFrame, read: DataFrame) -> DataFrame:
 
 def upserted(articles: DataFrame, stories: DataFrame, before: DataFrame, updates: DataFrame) -> Upserted:
     """``updates`` (url, place, facts: JSON) into ``articles`` (url, FACTS, story_id, source_key, aggregator, published) and ``stories``; ``before`` is the evidence so far."""
-    latest = updates.filter("url IS NOT NULL").withColumn("f", unpacked(F.col("facts"))).filter("f IS NOT NULL").groupBy("url").agg(F.max_by("f", "place").alias("f")).select("url", "f.*")
+    told = by_rows(updates.filter("url IS NOT NULL"), TASK_ROWS, "url").withColumn("f", unpacked(F.col("facts"))).filter("f IS NOT NULL")
+    latest = materialize(told.groupBy("url").agg(F.max_by("f", "place").alias("f")).select("url", "f.*"), "facts-latest")
     old = materialize(articles.join(latest.select("url"), "url", "left_semi"), "facts-before")
     new = materialize(replaced(old, latest), "facts-after")
-    after = materialize(moved(before, evidence(new), evidence(old)), "evidence")
+    after = materialize(moved(before, evidence(by_rows(new, TASK_ROWS)), evidence(by_rows(old, TASK_ROWS))), "evidence")
     touched = new.select("story_id").distinct()
     return Upserted(new, with_sums(stories.join(touched, "story_id", "left_semi"), sums(after.join(touched, "story_id", "left_semi"))), after)

@@ -96,3 +96,12 @@ def test_empty_tables(spark):
     none = [spark.createDataFrame([], s) for s in (ARTICLE, STORY)]
     got = facts.upserted(*none, facts.evidence(none[0]), spark.createDataFrame([], "url string, place long, facts string"))
     assert [df.count() for df in got] == [0, 0, 0]
+
+
+def test_rows_that_repeat_are_dealt_by_number(spark):
+    """10,000 equal rows are a tiny file, which Spark would give to one task."""
+    from newsgraph import tables
+
+    same = tables.materialize(spark.range(10_000).selectExpr("'u' AS url", "1 AS n").coalesce(1), "same")
+    assert tables.by_rows(same, 1000).rdd.getNumPartitions() == 10 and tables.by_rows(same, 1000, "url").rdd.getNumPartitions() == 10
+    assert tables.by_rows(same, 20_000).rdd.getNumPartitions() == 1 and tables.by_rows(same, 1000).count() == 10_000
