@@ -6,6 +6,11 @@ of its last token that the other side has not matched yet; an empty residue clos
 token but the first of a group overlaps the last token of the other side: that is a link. Transitions
 are memoised by state and token, groups by their first pair or their tokens, both up to a bound.
 
+No token of either side reaches from a letter over a space, so where a space follows what is not white
+space, both sides have a token's end and the transducer stands at the empty residue. A text is cut there
+into chunks (a word and the spaces before it, mostly); each is encoded and aligned once, and its groups
+and links are remembered up to a bound. Where B's pieces reach over spaces, the whole text is one chunk.
+
 ``align`` gives each document its groups and links; ``with_counts`` adds in how many documents of the
 whole table each linked pair of ids stands. Documents are dealt into blocks of bounded size, and a
 block asks for the count of each of its pairs once, so that a pair that stands in all documents moves
@@ -19,8 +24,10 @@ Repeated rows and ids are documents of their own. Extra columns are dropped; an
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -42,11 +49,12 @@ RUN_CHARS = 500_000
 LONG_WORD = 1000
 # Memoised transitions and groups of a worker.
 MOST_STATES, MOST_TRANSITIONS, MOST_GROUPS = 100_000, 1_000_000, 200_000
-# Runs of letters that side B remembers.
-MOST_RUNS = 300_000
+# Chunks that are remembered from one block to the next, and their characters.
+MOST_RUNS, MOST_CHARS = 300_000, 16_000_000
 B_BITS = 20
 SPACE_SIGN = "▁"
-_RUNS = re.compile(" +[^ ]*")
+# Spaces and what follows up to the next space that does not follow white space.
+_CHUNKS = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 
 ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>, block_pairs array<long>, block_docs array<long>"
 
@@ -56,8 +64,9 @@ class Side:
 
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
+        self.size = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
 
-    def joined(self, ids: list[int]) -> bytes:
+    def joined(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
@@ -80,12 +89,22 @@ class ByteLevel(Side):
         own = lambda t: np.frombuffer(b"".join(map(self.words.__getitem__, split_words(t))), "<u4").tolist()
         return [self.compiled(" " + t) if self.compiled and max(map(len, t.split()), default=0) < LONG_WORD else own(" " + t) for t in texts]
 
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks, which no word reaches over: together, but for those in which a word is long and those whose white space would run on."""
+        apart = {i for i, c in enumerate(chunks) if len(c) >= LONG_WORD or c[-1].isspace()} if self.compiled else set(range(len(chunks)))
+        alone = dict(zip(sorted(apart), self.encode([chunks[i][1:] for i in sorted(apart)]), strict=True))
+        joined = [c for i, c in enumerate(chunks) if i not in apart] if apart else chunks
+        ids = self.compiled("".join(joined)) if joined else []
+        ends = np.cumsum(self.size[ids]) if ids else np.empty(0, np.int64)
+        cuts = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in joined])) + 1
+        parts = map(ids.__getitem__, map(slice, [0, *cuts.tolist()], cuts.tolist()))
+        return [alone[i] if i in apart else next(parts) for i in range(len(chunks))] if apart else list(parts)
+
 
 class Pieces(Side):
     """A sentencepiece model, which puts the space before the text itself.
 
-    Where no piece reaches from a letter over a space, a text is encoded run of spaces by run of spaces, each
-    with the letters after it, and runs met before are remembered up to a bound; otherwise as a whole.
+    Where no piece reaches from a letter over a space, a text can be encoded chunk by chunk.
     """
 
     def __init__(self, path: str):
@@ -94,21 +113,18 @@ class Pieces(Side):
         plain = lambda i, name: bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace(SPACE_SIGN, " ").encode()
         super().__init__([plain(i, name) for i, name in enumerate(names)])
         self.apart = not any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", name) for name in names) and SPACE_SIGN in names
-        self.runs: dict[str, bytes] = {}
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks, of which the model puts the first space itself, but for a chunk that is this space alone."""
+        found = self.model.encode([c[1:] for c in chunks], num_threads=1) if chunks else []
+        return [ids if c != " " or not self.apart else [self.model.piece_to_id(SPACE_SIGN)] for c, ids in zip(chunks, found, strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.apart:
-            return self.model.encode(texts, num_threads=1) if texts else []
-        pieces = [_RUNS.findall(" " + t) for t in texts]
-        met = set().union(*pieces)
-        missing = met - self.runs.keys()
-        if len(self.runs) + len(missing) > MOST_RUNS:
-            self.runs.clear()
-            missing = met
-        missing = list(missing)
-        for run, ids in zip(missing, self.model.encode([r[1:] for r in missing], num_threads=1) if missing else [], strict=True):
-            self.runs[run] = np.array(ids if len(run) > 1 else [self.model.piece_to_id(SPACE_SIGN)], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.runs.__getitem__, p)), "<u4").tolist() for p in pieces]
+        return [list(chain.from_iterable(self.encode_chunks(self.chunks(t)))) for t in texts]
+
+    def chunks(self, text: str) -> list[str]:
+        """A space and the text in chunks."""
+        return _CHUNKS.findall(" " + text) if self.apart else [" " + text]
 
 
 class Transducer:
@@ -148,7 +164,7 @@ class Transducer:
         self.next_of[state << B_BITS | token] = found
         return found
 
-    def align(self, a_ids: list[int], b_ids: list[int]) -> list[int | tuple[tuple[int, ...], ...]]:
+    def align(self, a_ids: Iterable[int], b_ids: Iterable[int]) -> list[int | tuple[tuple[int, ...], ...]]:
         """The groups in order: a pair of ids as one number, or where there are more the ids of A, those of B and the links."""
         if len(self.number) > MOST_STATES or len(self.next_of) + len(self.closed) > MOST_TRANSITIONS:
             self._forget()
@@ -184,63 +200,134 @@ class Transducer:
             add((tuple(of_a), tuple(of_b), tuple(links)) if len(links) > 1 else pair)
 
 
+class _Texts(dict):
+    """Groups as text; cleared when full."""
+
+    def __missing__(self, group) -> str:
+        pair = isinstance(group, int)
+        found = f"{group >> B_BITS}|{group & ((1 << B_BITS) - 1)}" if pair else "|".join(",".join(map(str, side)) for side in group[:2])
+        if len(self) >= MOST_GROUPS:
+            self.clear()
+        self[group] = found
+        return found
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of these sizes, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Aligner:
-    """Both sides, the transducer, and what the groups met so far say."""
+    """Both sides, the transducer, and what the groups and chunks met so far say."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         if max(len(self.a.token_bytes), len(self.b.token_bytes)) > 1 << B_BITS:
             raise ValueError(f"a vocabulary has more than {1 << B_BITS} tokens")
         self.transducer = Transducer(self.a, self.b)
-        self.texts: dict = {}
-        self.links: dict = {}
+        self.texts = _Texts()
+        # Chunks are numbered. By number: their groups as text; tokens of A and B, groups, and whether both sides give
+        # the chunk back; in how many blocks it was met; and where its linked pairs end, which stand one after the other.
+        self.code: dict[str, int] = {}
+        self.chars = 0
+        self.shown: list[str] = []
+        self.numbers, self.met = np.empty((0, 4), np.int64), np.empty(0, np.int64)
+        self.links, self.ends = array("q"), array("q", [0])
 
-    def _meet(self, group) -> None:
-        if isinstance(group, int):
-            self.texts[group], self.links[group] = f"{group >> B_BITS}|{group & ((1 << B_BITS) - 1)}", [group]
-        else:
-            self.texts[group] = "|".join(",".join(map(str, side)) for side in group[:2])
-            self.links[group] = group[2]
-
-    def _encoded(self, places: list[int], texts: list[str]):
-        """Place, text and ids of both sides, encoded in runs of bounded size."""
-        start = chars = 0
-        for at, i in enumerate(places):
-            chars += len(texts[i])
-            if chars >= RUN_CHARS or at + 1 == len(places):
-                run = places[start : at + 1]
-                given = [texts[k] for k in run]
-                yield from zip(run, given, self.a.encode(given), self.b.encode(given), strict=True)
-                start, chars = at + 1, 0
+    def _forget(self) -> None:
+        """Chunks that were met in one block only go, and the rarer ones of the others beyond half of what is remembered."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > MOST_RUNS // 2:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: MOST_RUNS // 2]])
+        chunks = list(self.code)
+        self.code = {chunks[i]: new for new, i in enumerate(kept.tolist())}
+        self.chars = sum(map(len, self.code))
+        if self.chars > MOST_CHARS // 2:
+            kept, self.code, self.chars = kept[:0], {}, 0
+        self.shown = [self.shown[i] for i in kept.tolist()]
+        self.numbers, self.met = self.numbers[kept], self.met[kept] // 2
+        ends = np.array(self.ends, np.int64)
+        size = ends[kept + 1] - ends[kept]
+        self.links = array("q", np.array(self.links, np.int64)[_places(ends[kept], size)].tobytes())
+        self.ends = array("q", np.r_[0, np.cumsum(size)].tobytes())
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks that were not met before, and align those that both sides give back, one after the other."""
+        a_ids, b_ids = self.a.encode_chunks(chunks), self.b.encode_chunks(chunks)
+        data = [c.encode("utf-8") for c in chunks]
+        fits = np.ones(len(chunks), bool)
+        for side, ids in ((self.a, a_ids), (self.b, b_ids)):
+            if side.joined(chain.from_iterable(ids)) != b"".join(data) or not self._ends_alike(side, ids, data):
+                fits &= [side.joined(i) == d for i, d in zip(ids, data, strict=True)]
+        numbers = np.stack([np.fromiter(map(len, a_ids), np.int64), np.fromiter(map(len, b_ids), np.int64), np.zeros(len(chunks), np.int64), fits], axis=1)
+        numbers[~fits] = 0
+        of_fit = lambda ids: chain.from_iterable(i for i, fit in zip(ids, fits.tolist(), strict=True) if fit)
+        groups = self.transducer.align(of_fit(a_ids), of_fit(b_ids))
+        # A chunk's groups are those that end with its last token of A at the latest.
+        last = np.r_[0, np.cumsum([1 if g.__class__ is int else len(g[0]) for g in groups])]
+        ends = np.searchsorted(last, np.cumsum(numbers[:, 0]))
+        numbers[:, 2] = np.diff(ends, prepend=0)
+        texts = list(map(self.texts.__getitem__, groups))
+        self.shown.extend(";".join(texts[i:j]) for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False))
+        # Each token but the first of a group makes a link.
+        self.ends.extend((self.ends[-1] + np.cumsum(numbers[:, 0] + numbers[:, 1] - numbers[:, 2])).tolist())
+        self.links.extend(chain.from_iterable((g,) if g.__class__ is int else g[2] for g in groups))
+        self.code.update(zip(chunks, range(len(self.code), len(self.code) + len(chunks)), strict=True))
+        self.chars += sum(map(len, chunks))
+        self.numbers, self.met = np.concatenate([self.numbers, numbers]), np.r_[self.met, np.zeros(len(chunks), np.int64)]
+
+    @staticmethod
+    def _ends_alike(side: Side, ids: list[list[int]], data: list[bytes]) -> bool:
+        """Whether the ids of each chunk have as many bytes as it."""
+        ends = np.r_[0, np.cumsum(side.size[np.fromiter(chain.from_iterable(ids), np.int64)])][np.cumsum([len(i) for i in ids])]
+        return bool((ends == np.cumsum([len(d) for d in data])).all())
+
+    def _codes(self, texts: list[str]) -> list[list[int]]:
+        """The chunks of each text by number; none where a side does not give the text back."""
+        out, start, chars = [], 0, 0
+        for at, text in enumerate(texts):
+            chars += len(text)
+            if chars < RUN_CHARS and at + 1 < len(texts):
+                continue
+            pieces = [self.b.chunks(t) if t else [] for t in texts[start : at + 1]]
+            if new := list(set().union(*pieces) - self.code.keys()):
+                self._learn(new)
+            out.extend(list(map(self.code.__getitem__, p)) for p in pieces)
+            start, chars = at + 1, 0
+        lost = set(np.flatnonzero(self.numbers[:, 3] == 0).tolist())
+        if lost:
+            out = [[] if not lost.isdisjoint(c) else c for c in out]
+        return out
 
     def block(self, number: int, doc_ids: list, texts: list[str | None]) -> pa.RecordBatch:
         """Aligned documents of one block; its first row holds the pairs of the whole block and the number of its documents with each."""
-        plain = [t or "" for t in texts]
-        full = [i for i, t in enumerate(plain) if t]
-        rows: list[list] = [[number, d, 0, 0, 0, 0, "", [], [], None, None] for d in doc_ids]
-        in_docs: Counter = Counter()
-        for i, text, a_ids, b_ids in self._encoded(full, plain):
-            data = (" " + text).encode("utf-8")
-            if self.a.joined(a_ids) != data or self.b.joined(b_ids) != data:
-                continue
-            groups = self.transducer.align(a_ids, b_ids)
-            times = Counter(groups)
-            if len(self.texts) > MOST_GROUPS:
-                self.texts.clear(), self.links.clear()
-            linked: dict[int, int] = {}
-            for g, n in times.items():
-                if g not in self.texts:
-                    self._meet(g)
-                for pair in self.links[g]:
-                    linked[pair] = linked.get(pair, 0) + n
-            in_docs.update(linked.keys())
-            n_links = len(a_ids) + len(b_ids) - len(groups)
-            rows[i][2:9] = [len(a_ids), len(b_ids), len(groups), n_links, ";".join(map(self.texts.__getitem__, groups)), list(linked), list(linked.values())]
-        if rows:
-            rows[0][9:] = [list(in_docs), list(in_docs.values())]
-        kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in ALIGNED.split(", ")])
+        if len(self.code) > MOST_RUNS or self.chars > MOST_CHARS:
+            self._forget()
+        n = len(doc_ids)
+        of_doc = self._codes([t or "" for t in texts])
+        codes = np.fromiter(chain.from_iterable(of_doc), np.int64)
+        last = np.r_[0, np.fromiter(accumulate(map(len, of_doc)), np.int64, n)]
+        self.met[np.unique(codes)] += 1
+        numbers = self.numbers[codes, :3]
+        n_a, n_b, n_groups = np.diff(np.r_[np.zeros((1, 3), np.int64), np.cumsum(numbers, axis=0)][last], axis=0).T
+
+        # The linked pairs of each document, in order, and how often each is linked.
+        ends = np.array(self.ends, np.int64)
+        size = ends[codes + 1] - ends[codes]
+        doc = np.repeat(np.repeat(np.arange(n), np.diff(last)), size)
+        linked = np.sort(doc << 2 * B_BITS | np.array(self.links, np.int64)[_places(ends[codes], size)])
+        first = np.flatnonzero(np.r_[True, linked[1:] != linked[:-1]][: len(linked)])
+        times = np.diff(np.r_[first, len(linked)]).astype(np.int32)
+        pairs = linked[first] & ((1 << 2 * B_BITS) - 1)
+        offsets = pa.array(np.searchsorted(linked[first] >> 2 * B_BITS, np.arange(n + 1)).astype(np.int32))
+        in_docs = np.unique(pairs, return_counts=True)
+
+        once = lambda values: pa.array([values, *[None] * (n - 1)][:n], pa.list_(pa.int64()))
+        columns = [np.full(n, number), pa.array(doc_ids, pa.int64()), n_a, n_b, n_groups, n_a + n_b - n_groups]
+        columns += [pa.array([";".join(map(self.shown.__getitem__, c)) for c in of_doc], pa.string())]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (pairs, times)]
+        columns += [once(in_docs[0]), once(in_docs[1].astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[f.split()[0] for f in ALIGNED.split(", ")])
 
 
 @lru_cache(maxsize=2)

@@ -125,3 +125,23 @@ def test_query(spark, libraries):
     for d, row in zip(documents, plain(libraries, [d["text"] for d in documents]), strict=True):
         r = got[d["doc_id"]]
         assert [r[c] for c in COLUMNS] == row[:6] and r["groups_sha256"] == (hashlib.sha256(row[6].encode()).hexdigest() if row[6] else "")
+
+
+def test_chunks_are_aligned_once(libraries, monkeypatch):
+    """A word that stands in every document is encoded and aligned once, and forgetting the rare ones between blocks changes nothing."""
+    draw = random.Random(3)
+    common = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    odd = ["x\n", "\ty", "z.　", "é ", "1,5", "", "", "漢字", "w" * 1500, "v\x1c", "it's", "a\n\n", "😀"]
+    blocks = [[" ".join(draw.choice(common * 3 + odd) for _ in range(60)) + draw.choice(("", " ", "\n")) for _ in range(20)] + [None, "a▁b", " "] for _ in range(4)]
+    expected = plain(libraries, [t for texts in blocks for t in texts])
+    for bound in (alignment.MOST_RUNS, 60):
+        monkeypatch.setattr(alignment, "MOST_RUNS", bound)
+        read = []
+        aligner = alignment.Aligner(TOKENIZER, PIECES)
+        align = aligner.transducer.align
+        monkeypatch.setattr(aligner.transducer, "align", lambda a, b, align=align, read=read: align(read.append(a := list(a)) or a, b))
+        rows = [r for n, texts in enumerate(blocks) for r in aligner.block(n, list(range(len(texts))), texts).to_pylist()]
+        for r, row in zip(rows, expected, strict=True):
+            assert [r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups"]] == [*row[:4], row[6]]
+            assert sum(r["times"]) == r["n_links"] and len(set(r["pairs"])) == len(r["pairs"])
+        assert sum(map(len, read)) < sum(r["n_a"] for r in rows) / 3
