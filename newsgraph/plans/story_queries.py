@@ -344,8 +344,9 @@ def j6_story_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as titles, an hour a page, nine regions of which one is unknown."""
     region = F.when(F.col("page_id") % 9 > 0, (F.col("page_id") % 9).cast("string"))
     grams = X.trigrams(F.regexp_replace("url", "[^a-zA-Z0-9]", ""))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.timestamp_seconds(F.col("page_id") * 3600).alias("published"), F.array_compact(F.array(region)).alias("regions"), grams.alias("grams"))
-    found = similarity.story_candidates(materialize(pages, "candidate-pages"), pages, 0.35, 60, match.FOLLOW_UP_DAYS)
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url")).select(F.col("page_id").alias("id"), F.timestamp_seconds(F.col("page_id") * 3600).alias("published"), F.array_compact(F.array(region)).alias("regions"), grams.alias("grams"))
+    pages = materialize(pages, "candidate-pages")
+    found = similarity.story_candidates(pages, pages, 0.35, 60, match.FOLLOW_UP_DAYS)
     return found.select("left_id", "right_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
